@@ -28,7 +28,7 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import partitions, read_table, release, shared_dir, stage
@@ -44,12 +44,16 @@ LIST_LIMIT = 16
 FREQUENT_BOUND = 2_000_000
 #: Elements that one task sorts at a time.
 RANGE_ROWS = 3_000_000
-#: Pivots that a frequent list is compared with before what is left is compared in pairs.
-PIVOTS = 6
+#: Elements that a task combines or deals out at a time.
+FLUSH_ROWS = 400_000
+#: Members of a frequent list that the sets meet which are not linked to its pivot.
+FRIENDS = 8
 #: Largest size for which subsets are considered, and the cost of a list entry in subsets.
 LIGHT_MOST, ENTRY_COST = 24, 8
 #: Sets that are compared with one copy of a partner's set.
 FAN = 128
+#: Sets of a block of queries and of a block that they are compared with.
+QUERY_BLOCK, MEMBER_BLOCK = 256, 1024
 
 _IS_WORD = np.ones(256, bool)
 _IS_WORD[[0x20, 9, 10, 11, 12, 13]] = False
@@ -87,8 +91,8 @@ def pack(values: np.ndarray) -> bytes:
     return np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :7]).tobytes()
 
 
-def unpack(blob: bytes) -> np.ndarray:
-    raw = np.frombuffer(blob, np.uint8).reshape(-1, 7)
+def unpack(blob: bytes | np.ndarray) -> np.ndarray:
+    raw = (blob if isinstance(blob, np.ndarray) else np.frombuffer(blob, np.uint8)).reshape(-1, 7)
     out = np.zeros((len(raw), 8), np.uint8)
     out[:, :7] = raw
     return out.view("<u8").ravel()
@@ -148,10 +152,10 @@ def _counted(ranges: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for batch in batches:
-            for blob in batch.column(0).to_pylist():
-                held.append(unpack(blob))
+            for _, _, raw, _ in slices(batch.column(0), 7 * FLUSH_ROWS, 1 << 30):
+                held.append(unpack(raw))
                 size += len(held[-1])
-                if size >= RANGE_ROWS:
+                if size >= FLUSH_ROWS:
                     yield from flush(held)
                     held, size = [], 0
         if held:
@@ -165,10 +169,10 @@ def _frequent(limit: int, ranges: int):
         once = [np.frombuffer(x, np.uint32) for x in table["once"].to_pylist()]
         more = [np.frombuffer(x, np.uint32) for x in table["more"].to_pylist()]
         times = [np.frombuffer(x, np.uint32) for x in table["times"].to_pylist()]
-        values = np.concatenate([*once, *more])
-        counts = np.concatenate([*(np.ones(len(x), np.int64) for x in once), *times])
-        order = np.argsort(values, kind="stable")
-        values, counts = values[order], counts[order]
+        values = np.concatenate([*once, *more]).astype(U64) << U64(32)
+        values |= np.concatenate([*(np.ones(len(x), np.uint32) for x in once), *times]).astype(U64)
+        values.sort()
+        values, counts = values >> U64(32), (values & U64(0xFFFFFFFF)).astype(np.int64)
         first = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]])) if len(values) else np.zeros(0, np.int64)
         total = np.add.reduceat(counts, first) if len(first) else np.zeros(0, np.int64)
         values = values[first].astype(np.int64)
@@ -216,7 +220,7 @@ def _entries(frequent, ranges: int, percent: int, floor: int):
                 size_and_part = np.full(len(token), n, np.int64) * 2 + (np.arange(len(token)) < short)
                 parts.append((token, np.full(len(token), doc, np.int64), size_and_part, np.arange(len(token)) < len(cold)))
                 size += len(token)
-                if size >= RANGE_ROWS:
+                if size >= FLUSH_ROWS:
                     yield from flush(parts)
                     parts, size = [], 0
         if parts:
@@ -257,12 +261,12 @@ def _list_pairs(percent: int, boundary: int):
 
 
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The entries of blobs as rows (token, doc, n)."""
+    """The entries of blobs as rows (token, doc)."""
     for batch in batches:
-        for t, d, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            token, doc, size = np.frombuffer(t, np.int64), np.frombuffer(d, np.int64), np.frombuffer(n, np.int64) >> 1
+        for t, d in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            token, doc = np.frombuffer(t, np.int64), np.frombuffer(d, np.int64)
             for lo in range(0, len(token), 50_000):
-                yield pa.RecordBatch.from_arrays([pa.array(v[lo : lo + 50_000]) for v in (token, doc, size)], names=["token", "x", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(v[lo : lo + 50_000]) for v in (token, doc)], names=["token", "x"])
 
 
 def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -356,47 +360,84 @@ def light_links(sets: DataFrame, most: int, percent: int) -> DataFrame:
 # --- frequent lists --------------------------------------------------------------------
 
 
-def frequent_links(entries: DataFrame, sets: DataFrame, links: DataFrame, percent: int, boundary: int) -> DataFrame:
+def frequent_links(entries: DataFrame, sets: DataFrame, links: DataFrame, percent: int) -> DataFrame:
     """All links of the lists of frequent elements that join different components.
 
-    entries: (token, x, n).  Each round compares what is left of a list with its pivot
-    (its smallest set); a set linked to the pivot leaves the list.  A set that is left
-    after all rounds, or that a pivot's ball may still reach, is compared with the
-    list's sets of other components, except where the distances to the first pivot
-    differ by more than a link allows.
+    entries: (token, x).  A list's sets are compared with its pivot (its smallest set),
+    what is not linked to it with a few members more.  A set that after this is outside
+    the component of its list's pivot is compared with all of the list's sets in other
+    components, except where the distances to the pivot differ by more than a link allows.
     """
-    allowed = 1 - percent / 100
-    at = Window.partitionBy("token")
-    left, first, found = entries, None, links
-    for k in range(PIVOTS):
-        pivots = left.groupBy("token").agg(F.min("x").alias("y"), F.count("*").alias("many"), F.max("x").alias("last")).filter("many > 1").select("token", "y")
-        known = stage(left.join(pivots, "token").select("token", "x", "n", "y"), "pivots")
-        if known.limit(1).count() == 0:
-            left = known.select("token", "x", "n")
-            break
-        compared = overlaps(known.filter("x <> y").select("x", "y").distinct(), sets)
-        compared = stage(compared, "compared")
-        near = compared.filter(f"100 * both >= {percent} * either")
-        found = found.union(near.select(F.col("x").alias("a"), F.col("y").alias("b")))
-        measured = known.join(compared, ["x", "y"], "left").select("token", "x", "n", "y", F.when(F.col("x") == F.col("y"), 0.0).otherwise(1 - F.col("both") / F.col("either")).alias("d"), F.coalesce(F.expr(f"100 * both >= {percent} * either"), F.lit(True)).alias("in_ball"))
-        measured = stage(measured, "measured")
-        if first is None:
-            first = measured.select("token", "x", "n", "d")
-        left = measured.filter("not in_ball").select("token", "x", "n")
-    if first is None:
-        return found
+    sets = stage(sets.join(entries.select(F.col("x").alias("doc_id")).distinct(), "doc_id", "left_semi").select("doc_id", "elements"), "hot-sets")
+    pivots = entries.groupBy("token").agg(F.min("x").alias("y"), F.count("*").alias("many")).filter("many > 1").select("token", "y")
+    known = stage(entries.join(pivots, "token").select("token", "x", "y"), "pivots")
+    compared = stage(overlaps(known.filter("x <> y").select("x", "y").distinct(), sets), "compared")
+    linked = f"100 * both >= {percent} * either"
+    found = links.union(compared.filter(linked).select(F.col("x").alias("a"), F.col("y").alias("b")))
+    distance = F.when(F.col("x") == F.col("y"), 0.0).otherwise(1 - F.col("both") / F.col("either"))
+    first = known.join(compared, ["x", "y"], "left").select("token", "x", distance.alias("d"), F.coalesce(F.expr(linked), F.lit(True)).alias("in_ball"))
+    first = stage(first, "measured")
+    left = first.filter("not in_ball").select("token", "x")
+    # the rest of a list meets its own smallest set and some members picked by hash, so that
+    # a set of the pivot's component that is not near the pivot itself seldom stays alone
+    some = [F.min_by("x", F.xxhash64(F.lit(i), F.col("x"))) for i in range(FRIENDS)]
+    friends = entries.join(left.select("token").distinct(), "token", "left_semi").groupBy("token").agg(F.array(*some).alias("y"))
+    own = left.groupBy("token").agg(F.array(F.min("x")).alias("y"))
+    tries = left.join(friends.union(own).select("token", F.explode("y").alias("y")), "token").filter("x <> y")
+    tries = stage(tries.select(F.least("x", "y").alias("y"), F.greatest("x", "y").alias("x")).select("x", "y").distinct(), "tries")
+    near = stage(overlaps(tries, sets).filter(linked), "near")
+    found = found.union(near.select(F.col("x").alias("a"), F.col("y").alias("b")))
     component = connected_components(found)
     found = stage(found.distinct(), "found")
-    placed = first.join(component.select(F.col("id").alias("x"), "component"), "x", "left").select("token", "x", "n", "d", F.coalesce("component", "x").alias("c"))
+    placed = first.join(component.select(F.col("id").alias("x"), "component"), "x", "left").select("token", "x", "d", F.coalesce("component", "x").alias("c"))
     placed = stage(placed, "placed")
-    mixed = placed.groupBy("token").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).filter("c0 <> c1").select("token")
-    placed = placed.join(mixed, "token", "left_semi").withColumn("band", F.floor(F.col("d") / allowed - 1e-9).cast("int"))
-    one = placed.select("token", "band", F.col("x").alias("x"), F.col("n").alias("n"), F.col("c").alias("c"), "d")
-    other = placed.select("token", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band"), F.col("x").alias("y"), F.col("n").alias("m"), F.col("c").alias("e"), F.col("d").alias("f"))
-    open_ = one.join(other, ["token", "band"]).filter(f"x < y and c <> e and 100 * least(n, m) >= {percent} * greatest(n, m) and greatest(n, m) > {boundary} and abs(d - f) <= {allowed} + 1e-9 and (d > {allowed} - 1e-9 or f > {allowed} - 1e-9)")
-    pairs = stage(open_.select("x", "y").distinct(), "open")
-    more = overlaps(pairs, sets).filter(f"100 * both >= {percent} * either").select(F.col("x").alias("a"), F.col("y").alias("b"))
-    return found.union(more)
+    centre = placed.groupBy("token").agg(F.min_by("c", "d").alias("centre"), F.min("c").alias("c0"), F.max("c").alias("c1")).filter("c0 <> c1").select("token", "centre")
+    members = stage(placed.join(centre, "token").select("centre", "x", "c").distinct(), "members")
+    return found.union(block_links(members, sets, percent))
+
+
+def block_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links of different components c within each ``centre``: (centre, x, c) -> (a, b).
+
+    Two sets of the centre's own component need no look.  The others are the queries, which
+    meet all members in blocks; a block's intersections are one product of 0/1 matrices.
+    """
+    size = members.groupBy("centre").agg(F.ceil(F.sum((F.col("c") != F.col("centre")).cast("long")) / QUERY_BLOCK).cast("int").alias("qs"), F.ceil(F.count("*") / MEMBER_BLOCK).cast("int").alias("ms"))
+    held = members.join(size.filter("qs > 0"), "centre").join(sets.withColumnRenamed("doc_id", "x"), "x")
+    queries = held.filter("c <> centre").withColumn("q", F.pmod(F.hash("x"), "qs")).withColumn("m", F.explode(F.expr("sequence(0, ms - 1)")))
+    others = held.withColumn("m", F.pmod(F.hash("x"), "ms")).withColumn("q", F.explode(F.expr("sequence(0, qs - 1)")))
+    keys, cols = ["centre", "q", "m"], [F.col(c).alias(c) for c in ("centre", "q", "m", "x", "c", "elements")]
+    return queries.select(*cols).groupBy(*keys).cogroup(others.select(*cols).groupBy(*keys)).applyInArrow(_block(percent), "a long, b long")
+
+
+def _block(percent: int):
+    def tokens(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        sets = [unpack(b) for b in t["elements"].to_pylist()]
+        n = np.array([len(v) for v in sets], np.int64)
+        return np.concatenate(sets) if sets else np.zeros(0, U64), np.repeat(np.arange(len(n)), n), n
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        (lt, li, ln), (rt, ri, rn) = tokens(left), tokens(right)
+        shared = np.intersect1d(lt, rt)
+        both = np.zeros((len(ln), len(rn)), np.float32)
+        for lo in range(0, len(shared), 2048):
+            some = shared[lo : lo + 2048]
+            sides = []
+            for token, row, n in ((lt, li, len(ln)), (rt, ri, len(rn))):
+                at = np.searchsorted(some, token)
+                at[at == len(some)] = 0
+                hit = some[at] == token
+                grid = np.zeros((n, len(some)), np.float32)
+                grid[row[hit], at[hit]] = 1
+                sides.append(grid)
+            both += sides[0] @ sides[1].T
+        either = ln[:, None] + rn[None, :] - both
+        lc, rc = (np.array(t["c"].to_pylist(), np.int64) for t in (left, right))
+        a, b = np.nonzero((100 * both >= percent * either) & (lc[:, None] != rc[None, :]))
+        lx, rx = (np.array(t["x"].to_pylist(), np.int64) for t in (left, right))
+        return pa.table({"a": lx[a], "b": rx[b]})
+
+    return run
 
 
 # --- the operator ------------------------------------------------------------------------
@@ -435,8 +476,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     near = overlaps(pairs, sets).filter(f"100 * both >= {percent} * either").select(F.col("x").alias("a"), F.col("y").alias("b"))
     links = stage(links.union(near), "links")
     release(spark)
-    hot = entries.filter("rng < 0").select("tokens", "docs", "sizes").mapInArrow(_rows, "token long, x long, n long")
-    links = frequent_links(stage(hot, "hot"), sets, links, percent, boundary)
+    hot = entries.filter("rng < 0").select("tokens", "docs").mapInArrow(_rows, "token long, x long")
+    links = frequent_links(stage(hot, "hot"), sets, links, percent)
     component = connected_components(links)
     places = classes.join(component, classes.rep == component.id, "left").select("n", "s1", "s2", F.coalesce("component", "rep").alias("place"))
     out = signed.join(places, ["n", "s1", "s2"], "left")
