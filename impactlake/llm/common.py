@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -39,7 +40,7 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = shared_dir(spark, label)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -49,6 +50,7 @@ def release(spark: SparkSession) -> None:
     Spark keeps the shuffle files of finished jobs until the driver's collector finds
     that nothing refers to them, which at low memory pressure may be never.
     """
+    gc.collect()
     spark.sparkContext._jvm.System.gc()
 
 

@@ -217,7 +217,7 @@ def _entries(frequent, ranges: int, percent: int, floor: int):
                 token = np.concatenate([cold, late])
                 # of a pair the smaller set needs only so many of its first elements
                 short = n - -(-2 * percent * n // (100 + percent)) + 1
-                size_and_part = np.full(len(token), n, np.int64) * 2 + (np.arange(len(token)) < short)
+                size_and_part = np.full(len(token), n, np.int32) * 2 + (np.arange(len(token)) < short).astype(np.int32)
                 parts.append((token, np.full(len(token), doc, np.int64), size_and_part, np.arange(len(token)) < len(cold)))
                 size += len(token)
                 if size >= FLUSH_ROWS:
@@ -235,7 +235,7 @@ def _list_pairs(percent: int, boundary: int):
     def run(table: pa.Table) -> pa.Table:
         token = np.concatenate([np.frombuffer(x, U64) for x in table["tokens"].to_pylist()])
         doc = np.concatenate([np.frombuffer(x, np.int64) for x in table["docs"].to_pylist()])
-        n = np.concatenate([np.frombuffer(x, np.int64) for x in table["sizes"].to_pylist()])
+        n = np.concatenate([np.frombuffer(x, np.int32) for x in table["sizes"].to_pylist()])
         order = np.lexsort((doc, n >> 1, token))
         token, doc, n = token[order], doc[order], n[order]
         small, large, d = [], [], 1
@@ -460,6 +460,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     classes = stage(classes, "classes")
     total, count = classes.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     sets = _stored_sets(texts, classes, words)
+    release(spark)
     ranges = max(12, int(total // RANGE_ROWS) + 1)
 
     sizes = {r.n: r["count"] for r in classes.filter(F.col("n") <= 2 * LIGHT_MOST).groupBy("n").count().collect()}
@@ -470,6 +471,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     floor = -(-percent * (boundary + 1) // 100)
     entries = sets.filter(F.col("n") >= floor).select("doc_id", "n", "elements").mapInArrow(_entries(frequent, ranges, percent, floor), "rng int, tokens binary, docs binary, sizes binary")
     entries = stage(entries, "entries")
+    release(spark)
     pairs = entries.filter("rng >= 0").groupBy("rng").applyInArrow(_list_pairs(percent, boundary), "x long, y long").distinct()
     pairs = stage(pairs, "pairs")
     release(spark)
@@ -492,7 +494,6 @@ def _stored_sets(texts: DataFrame, classes: DataFrame, words: int) -> DataFrame:
     path = shared_dir(spark, "sets")
     name = "sets_" + path[-32:]
     rows.write.bucketBy(partitions(spark), "doc_id").sortBy("doc_id").option("path", path).format("parquet").saveAsTable(name)
-    release(spark)
     return spark.table(name)
 
 
