@@ -513,9 +513,9 @@ def _frequent_elements(sets: DataFrame, ranges: int):
 
 
 def near_duplicate_filter(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the documents that have a component with a smaller id; all columns stay."""
-    place = jaccard_components(docs, id_col, text_col).filter("doc_id = component_id").select(F.col("doc_id").alias("__keep"))
-    return docs.join(place.distinct(), docs[id_col] == F.col("__keep"), "left_semi")
+    """``docs`` without the documents whose component has a smaller id; all columns stay, as do rows with a null id."""
+    spare = jaccard_components(docs, id_col, text_col).filter("doc_id <> component_id").select(F.col("doc_id").alias("__spare")).distinct()
+    return docs.join(stage(spare, "spare"), docs[id_col] == F.col("__spare"), "left_anti")
 
 
 def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

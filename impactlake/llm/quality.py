@@ -191,21 +191,36 @@ def quality_scores(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_R
     of documents that are not there, are left out; of several labels of a document the
     largest counts.  A row with a null id is scored and not held out.
     """
-    spark = docs.sparkSession
+    rows, trees = _fitted(docs, labels, train_rows)
+    scored = rows.mapInArrow(_scored(docs.sparkSession.sparkContext.broadcast(trees)), "doc_id long, score double")
+    return scored.select("doc_id", held_out().alias("held_out"), "score", F.when(F.col("score") >= THRESHOLD, 1).otherwise(0).alias("predicted"))
+
+
+def _fitted(docs: DataFrame, labels: DataFrame, train_rows: int) -> tuple[DataFrame, Trees]:
+    """The statistics of every document, and the trees fitted on labelled ones."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = stage(texts.mapInArrow(_features, "doc_id long, x array<double>"), "statistics")
     known = labels.filter("quality in (0, 1) and doc_id is not null").filter(~held_out()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("quality").alias("y"))
     sample = rows.join(known, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "x").limit(train_rows).toPandas()
     x = np.stack(sample["x"].to_list()) if len(sample) else np.zeros((0, len(FEATURES)))
-    trees = fit(x, sample["y"].to_numpy(np.float64))
-    scored = rows.mapInArrow(_scored(spark.sparkContext.broadcast(trees)), "doc_id long, score double")
-    return scored.select("doc_id", held_out().alias("held_out"), "score", F.when(F.col("score") >= THRESHOLD, 1).otherwise(0).alias("predicted"))
+    return rows, fit(x, sample["y"].to_numpy(np.float64))
+
+
+def _kept(model, column: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trees: Trees = model.value
+        for batch in batches:
+            for lo, hi, raw, at in slices(batch.column(column)):
+                good = trees.score(statistics(raw, at)) >= THRESHOLD
+                yield batch.slice(lo, hi - lo).filter(pa.array(good))
+
+    return run
 
 
 def good_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``docs`` without the rejected documents (score below the threshold); all columns stay."""
-    bad = quality_scores(docs, labels).filter("predicted = 0").select(F.col("doc_id").alias("__bad")).distinct()
-    return docs.join(bad, docs["doc_id"] == F.col("__bad"), "left_anti")
+    _, trees = _fitted(docs, labels, TRAIN_ROWS)
+    return docs.mapInArrow(_kept(docs.sparkSession.sparkContext.broadcast(trees), docs.columns.index("text")), docs.schema)
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
