@@ -23,8 +23,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents without passages of two benchmark items or more."""
-    return decontaminated(docs, read_table(spark, sf_dir, "benchmark"))
+    """The documents in which no window of any benchmark item occurs."""
+    return decontaminated(docs, read_table(spark, sf_dir, "benchmark"), min_items=1)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
