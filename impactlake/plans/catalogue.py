@@ -2,14 +2,266 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def flagship(spark, sf_dir):
-    raise NotImplementedError
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
+from ..functions import anchors as A
+from ..functions import pricing as P
+from ..functions import scalars as S
+from ..operators import lookup
+from ..operators.match import partners
+from ..operators.traverse import dependencies, derive
+from ..sources import projection as G
 
-def queries():
-    return {}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
 
 
-def oracle_sql():
-    return {}
+def query(sql: str | None = None):
+    def keep(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return keep
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return QUERIES
+
+
+def oracle_sql() -> dict[str, str]:
+    return ORACLES
+
+
+SRC = "select p_partkey file_id, (case when p_size = 50 then 'vendor/' else '' end) || 'src/' || lower(p_type) || '/p' || p_partkey || (case p_size % 3 when 0 then '.php' when 1 then '.ts' else '.js' end) path, p_size = 50 vendor, p_size from part"
+TESTS = "select o_orderkey, c_custkey, (case c_mktsegment when 'AUTOMOBILE' then 'phpunit' when 'FURNITURE' then 'playwright' when 'HOUSEHOLD' then 'qunit' else 'jest' end) framework, 'tests/' || lower(c_mktsegment) || '/c' || c_custkey || '.test.ts' path from orders join customer on o_custkey = c_custkey"
+TEST_ID = "framework || ':' || path || '::o' || o_orderkey"
+FLAG_KIND = "case l_returnflag when 'A' then 'symbol-use' when 'N' then 'hook-fire' else 'rest-call-js' end"
+EDGE_KIND = "case when l_returnflag = 'A' then (case when l_linestatus = 'F' then 'symbol-call' else 'symbol-call-uncertain' end) when l_returnflag = 'N' then (case when l_linestatus = 'F' then 'hook-mediated' else 'hook-mediated-uncertain' end) else (case when l_linestatus = 'F' then 'rest-mediated' else 'rest-mediated-partial' end) end"
+BASE_SQL = "case k when 'symbol-call' then 0.9 when 'symbol-call-uncertain' then 0.5 when 'hook-mediated' then 0.8 when 'hook-mediated-uncertain' then 0.4 when 'rest-mediated' then 0.85 else 0.5 end"
+PRICED = f"select *, {EDGE_KIND} k, least(1, greatest(0, ({BASE_SQL})::double * greatest(0.3, pow(0.92::double, l_linenumber)))) c from (select distinct l_orderkey, l_linenumber, l_partkey, l_returnflag, l_linestatus from lineitem)"
+
+
+def evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each distinct call of a test to a part, priced at the call's line as its depth."""
+    kind = F.create_map(*[F.lit(x) for x in ("A", "symbol-use", "N", "hook-fire", "R", "rest-call-js")])[F.col("l_returnflag")]
+    rows = G.calls(spark, sf_dir).withColumn("kind", P.bridge_kind(kind, F.col("l_linestatus") == "F", F.lit(None).cast("string"), []))
+    return rows.withColumn("c", P.evidence_confidence(F.col("kind"), F.lit("exact"), F.col("l_linenumber"), F.lit(True)))
+
+
+def edge_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    src = G.source_files(G.table(spark, sf_dir, "part")).filter("not vendor").select(F.col("file_id").alias("l_partkey"), F.col("path").alias("source"))
+    t = G.tests(spark, sf_dir).select("test_id", (F.col("fact_id") - G.TEST_FACTS).alias("l_orderkey"))
+    rows = evidence(spark, sf_dir).join(src, "l_partkey").join(t, "l_orderkey")
+    # products in one order, so that their last bits do not depend on how rows are dealt
+    values = F.aggregate(F.array_sort(F.collect_list("c")), F.lit(1.0), lambda a, x: a * (1 - x), lambda a: 1 - a)
+    return rows.groupBy("test_id", "source").agg(values.alias("confidence"), F.bool_or(P.is_partial(F.col("kind"))).alias("partial"))
+
+
+EDGES = f"select t.framework || ':' || t.path || '::o' || t.o_orderkey test_id, framework, s.path as source, 1 - product(1 - c) confidence, bool_or(k like '%-uncertain' or k like '%-partial') partial from ({PRICED}) e join ({SRC}) s on s.file_id = e.l_partkey and not vendor join ({TESTS}) t on t.o_orderkey = e.l_orderkey group by all"
+CLASS = "(case framework when 'playwright' then 'e2e' else 'unit' end) framework_class"
+
+
+@query(f"select test_id, source, framework, {CLASS}, round(confidence, 6) confidence, partial from ({EDGES}) where framework = 'jest' and confidence >= 0.7 and source in (select path from ({SRC}) where p_size = 7)")
+def tests_from_sources(spark, sf_dir):
+    paths = G.table(spark, sf_dir, "part").filter("p_size = 7")
+    rows, _ = lookup.tests_from_sources(edge_table(spark, sf_dir), G.tests(spark, sf_dir), G.files(spark, sf_dir), G.source_files(paths).select("path"), "jest", 0.7)
+    return rows.withColumn("confidence", F.round("confidence", 6))
+
+
+@query(f"select test_id, source, framework, {CLASS}, round(confidence, 6) confidence, partial from ({EDGES}) where regexp_extract(test_id, 'o([0-9]+)$', 1)::bigint % 50 = 0")
+def sources_from_tests(spark, sf_dir):
+    ids = G.tests(spark, sf_dir).filter((F.col("fact_id") - G.TEST_FACTS) % 50 == 0).select("test_id")
+    rows, _ = lookup.sources_from_tests(edge_table(spark, sf_dir), G.tests(spark, sf_dir), ids)
+    return rows.withColumn("confidence", F.round("confidence", 6))
+
+
+@query(f"select 'src/asked/p' || p_partkey || '.php' path from part where p_size < 3 union all select 'nowhere' from part where p_size = 1")
+def unknown_paths(spark, sf_dir):
+    p = G.table(spark, sf_dir, "part")
+    asked = p.filter("p_size < 3").select(F.concat(F.lit("src/asked/p"), F.col("p_partkey").cast("string"), F.lit(".php")).alias("path")).union(p.filter("p_size = 1").select(F.lit("nowhere"))).union(G.source_files(p).select("path"))
+    return lookup.tests_from_sources(edge_table(spark, sf_dir), G.tests(spark, sf_dir), G.files(spark, sf_dir), asked)[1]
+
+
+@query(f"select {TEST_ID} test_id, round(1 - product(1 - c), 6) confidence from ({PRICED}) e join ({TESTS}) t on t.o_orderkey = e.l_orderkey group by all")
+def noisy_or_confidence(spark, sf_dir):
+    t = G.tests(spark, sf_dir).select("test_id", (F.col("fact_id") - G.TEST_FACTS).alias("l_orderkey"))
+    return evidence(spark, sf_dir).join(t, "l_orderkey").groupBy("test_id").agg(F.round(P.noisy_or(F.col("c")), 6).alias("confidence"))
+
+
+@query(f"select l_orderkey, l_linenumber, l_partkey, k as kind, round(c, 6) as c, round(c * 0.7, 6) llm, k like '%-uncertain' or k like '%-partial' as partial from ({PRICED})")
+def evidence_price(spark, sf_dir):
+    return evidence(spark, sf_dir).select("l_orderkey", "l_linenumber", "l_partkey", "kind", F.round("c", 6).alias("c"), F.round(P.llm_attenuated(F.col("c")), 6).alias("llm"), P.is_partial(F.col("kind")).alias("partial"))
+
+
+@query(f"select l_orderkey, k as kind, count(distinct l_partkey) n, string_agg(distinct l_partkey::varchar, ',' order by l_partkey::varchar) ids from ({PRICED}) group by all")
+def evidence_by_kind(spark, sf_dir):
+    ids = F.array_join(F.array_sort(F.collect_set(F.col("l_partkey").cast("string"))), ",")
+    return evidence(spark, sf_dir).groupBy("l_orderkey", "kind").agg(F.countDistinct("l_partkey").alias("n"), ids.alias("ids"))
+
+
+@query(f"select l_orderkey, k as kind, l_partkey, round(c, 6) as c from (select *, row_number() over (partition by l_orderkey, k, l_partkey order by l_linenumber) rn from ({PRICED})) where rn = 1")
+def evidence_first_value(spark, sf_dir):
+    first = evidence(spark, sf_dir).groupBy("l_orderkey", "kind", "l_partkey").agg(F.min_by("c", "l_linenumber").alias("c"))
+    return first.withColumn("c", F.round("c", 6))
+
+
+@query("select * from (values " + ", ".join(f"('{k}', {v})" for k, v in P.BASE.items()) + ") t(kind, base)")
+def price_table(spark, sf_dir):
+    return spark.createDataFrame(list(P.BASE.items()), "kind string, base double")
+
+
+ORACLES["price_table"] = "select kind, base::double base from (" + ORACLES["price_table"] + ")"
+
+HOOK = "hook:s_"
+LINKS = f"select p_partkey * 8 + 1 fact_id, '{HOOK}' || (p_partkey % 97) as key, 'target' as role from part union all select p_partkey * 8 + 2, case when p_partkey % 77 = 0 then '{HOOK}' || (p_partkey % 97 // 10) || '{{*}}' else '{HOOK}' || (p_partkey % 97) end, 'subject' from part where p_partkey % 11 = 0 union all select p_partkey * 8 + 3, 'php-symbol:P' || (p_partkey // 2), 'subject' from part where p_partkey % 2 = 0 union all select p_partkey * 8 + 4, 'php-symbol:P' || p_partkey, 'target' from part"
+
+
+def links(spark, sf_dir):
+    return G.facts_and_links(spark, sf_dir)[1]
+
+
+@query(f"with l as ({LINKS}) select a.fact_id, a.key, a.role, b.fact_id partner_id from l a join l b on a.key = b.key and b.role = (case a.role when 'target' then 'subject' else 'target' end) where a.key not like '%{{*}}%'")
+def anchor_exact_join(spark, sf_dir):
+    return partners(links(spark, sf_dir)).filter("precision = 'exact' and not contains(key, '{*}')").select("fact_id", "key", "role", "partner_id")
+
+
+@query(f"with l as ({LINKS}), w as (select fact_id, key, row_number() over (order by key, fact_id) o from l where key like '%{{*}}%'), m as (select a.fact_id, a.key, w.fact_id partner_id, w.key other, row_number() over (partition by a.fact_id, a.key order by w.key, w.fact_id) n from l a join w on a.role = 'target' and a.key like 'hook:%' and regexp_matches(a.key, '^' || replace(w.key, '{{*}}', '[^\\s]+') || '$')) select fact_id, key, partner_id, other, 'wildcardPrefixed' as precision from m where n <= 4")
+def wildcard_cap(spark, sf_dir):
+    return partners(links(spark, sf_dir), cap=4).filter("precision <> 'exact' and role = 'target'").select("fact_id", "key", "partner_id", "other", "precision")
+
+
+@query(f"with l as (select distinct key from ({LINKS})) select key, '^' || replace(regexp_replace(key, '([.*+?^${{}}()|\\[\\]\\\\])', '\\\\\\1', 'g'), '\\{{\\*\\}}', '[^\\s]+') || '$' rx, case when key = '{HOOK}{{*}}' then 'x' else 'wildcardPrefixed' end breadth, split_part(key, ':', 1) as type, length(replace(key, '{{*}}', '')) as literal from l where key like '%{{*}}%'")
+def wildcard_to_regex(spark, sf_dir):
+    k = F.col("key")
+    return links(spark, sf_dir).select("key").distinct().filter(A.is_wild(k)).select("key", A.wildcard_regex(k).alias("rx"), A.wildcard_breadth(k).alias("breadth"), A.anchor_type(k).alias("type"), F.length(F.replace(k, F.lit(A.WILD), F.lit(""))).cast("long").alias("literal"))
+
+
+@query(f"with recursive up(k, a, d) as (select p_partkey, p_partkey // 2, 1 from part where p_partkey >= 2 union all select k, a // 2, d + 1 from up where a >= 2), props as (select p_partkey, p_brand from part where p_size % 7 = 0) select k as p_partkey, arg_min(p_brand, d) brand, min(d)::bigint as depth from up join props on a = props.p_partkey group by k")
+def inherited_property(spark, sf_dir):
+    from ..operators.resolvers import nearest_ancestor
+
+    p = G.table(spark, sf_dir, "part")
+    parents = p.filter("p_partkey >= 2").select(F.col("p_partkey").alias("child"), F.expr("p_partkey div 2").alias("parent"))
+    props = p.filter("p_size % 7 = 0").select(F.col("p_partkey").alias("name"), F.col("p_brand").alias("value"))
+    return nearest_ancestor(parents, props).select(F.col("child").alias("p_partkey"), F.col("value").alias("brand"), "depth")
+
+
+PATHS = f"select path from ({SRC}) union select path from ({TESTS})"
+
+
+@query(f"select path, regexp_extract(path, '\\.([a-z]+)$', 1) as language, case when path like '%.php' and regexp_matches(path, '(?:^|/)tests/|Test\\.php$', 'i') then 'phpunit' when path like 'tests/furniture/%' then 'playwright' when path like 'tests/household/%' then 'qunit' when path like '%.test.ts' then 'jest' end framework, path like 'vendor/%' vendor from ({PATHS})")
+def detect_framework(spark, sf_dir):
+    p = F.col("path")
+    framework = S.detect_framework(p, ["tests/furniture/**"], ["tests/household/**"], ["**/*.test.ts"])
+    return G.files(spark, sf_dir).join(G.tests(spark, sf_dir).select("file_id").distinct().union(G.table(spark, sf_dir, "part").select("p_partkey")), "file_id", "left_semi").select("path").distinct().select("path", S.classify_language(p).alias("language"), framework.alias("framework"), S.is_vendor(p).alias("vendor"))
+
+
+@query(f"select {TEST_ID} as test_id, framework, path, 'o' || o_orderkey as \"filter\", null::varchar as \"error\" from ({TESTS}) union all select 'bad/' || c_custkey, null, null, null, 'malformed' from customer union all select 'mocha:x' || c_custkey, null, null, null, 'unknown-framework' from customer")
+def test_id_parse(spark, sf_dir):
+    c = G.table(spark, sf_dir, "customer")
+    raw = G.tests(spark, sf_dir).select("test_id").union(c.select(F.concat(F.lit("bad/"), F.col("c_custkey").cast("string")))).union(c.select(F.concat(F.lit("mocha:x"), F.col("c_custkey").cast("string"))))
+    return raw.select("test_id", S.parse_test_id(F.col("test_id")).alias("p")).select("test_id", "p.*")
+
+
+@query("select page_id, '/' || trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*', ''), '[?#].*$', ''), '/+', '/', 'g'), '/$', ''), '/') as path, nullif(regexp_extract(url, '[?&]([A-Za-z0-9_-]+)=', 1), '') as param from pages")
+def norm_rest_path(spark, sf_dir):
+    u = F.col("url")
+    return G.table(spark, sf_dir, "pages").select("page_id", S.norm_rest_path(u).alias("path"), S.regexp_or_null(u, r"[?&]([A-Za-z0-9_-]+)=").alias("param"))
+
+
+@query("select p_partkey, '/wc/v' || p_size || '/parts/' || p_partkey as joined, '/new/parts/' || p_partkey as rebased, '/wc/v' || p_size || '/parts' as normalised, 'save_' || p_partkey as action, 'page' || p_size as slug, case when p_size % 2 = 0 then 'assets/p' || p_partkey || '.js' end as tail, case p_size % 3 when 0 then 'POST,PUT,PATCH' when 1 then 'GET' else 'GET,POST' end as methods, p_size % 3 = 0 as builtin, p_size % 2 = 0 as asset, p_size % 3 = 1 as base_class, 'src/p' || p_partkey || '.php' as path from part")
+def scalar_functions(spark, sf_dir):
+    p = G.table(spark, sf_dir, "part")
+    k, z = F.col("p_partkey").cast("string"), F.col("p_size")
+    ns = F.concat(F.lit("wc/v"), z.cast("string"), F.lit("/"))
+    route = F.concat(F.lit("//parts/"), k, F.lit("/"))
+    url = F.concat(F.lit("https://x.test/wp-json/wc/v"), z.cast("string"), F.lit("/parts?a=1#b"))
+    methods = F.when(z % 3 == 0, "WP_REST_Server::EDITABLE").when(z % 3 == 1, "readable").otherwise("get , post")
+    return p.select(
+        "p_partkey", S.join_rest_route(ns, route).alias("joined"), S.rebase_rest_route(F.concat(F.lit("/old/parts/"), k), F.lit("old"), F.lit("new")).alias("rebased"), S.rest_url_normalise(url).alias("normalised"),
+        S.derive_ajax(F.concat(F.lit("wp_ajax_nopriv_save_"), k)).alias("action"), S.admin_page_slug(F.concat(F.lit("/wp-admin/admin.php?x=1&page=page"), z.cast("string"))).alias("slug"),
+        S.skeleton_tail(F.when(z % 2 == 0, F.concat(F.lit("{*}/assets/p"), k, F.lit("{*}.js"))).otherwise(F.lit("{*}/a{*}b.js"))).alias("tail"), F.array_join(S.split_methods(methods), ",").alias("methods"),
+        S.is_node_builtin(F.when(z % 3 == 0, "fs/promises").otherwise("./fs")).alias("builtin"), S.is_asset(F.when(z % 2 == 0, "./a.svg?x").otherwise("./a.ts")).alias("asset"),
+        S.is_test_base_class(F.when(z % 3 == 1, "App\\WP_UnitTestCase").otherwise("App\\Testing")).alias("base_class"), S.normalise_path(F.concat(F.lit("./src/x/../p"), k, F.lit(".php"))).alias("path"),
+    )
+
+
+@query("select doc_id, sha1(text) content, sha256('(file)' || chr(10) || 'a=' || lang || chr(10) || 'hook=' || source || chr(10)) expr from documents")
+def hashes(spark, sf_dir):
+    fields = F.array(F.struct(F.lit("hook").alias("field"), F.col("source").alias("expression")), F.struct(F.lit("a").alias("field"), F.col("lang").alias("expression")))
+    return G.table(spark, sf_dir, "documents").select("doc_id", S.content_hash(F.col("text")).alias("content"), S.expr_hash(F.lit("(file)"), fields).alias("expr"))
+
+
+@query("select doc_id, array_to_string(l[greatest(12 - 8, 1) : least(14 + 8, len(l))], chr(10)) slice, len(l)::int lines, 3 <= len(l) and len(list_filter(l[1:least(5, len(l))], lambda x: contains(x, 'the'))) > 0 cited from (select doc_id, string_split(text, chr(10)) l from documents)")
+def context_slice(spark, sf_dir):
+    t = F.col("text")
+    return G.table(spark, sf_dir, "documents").select("doc_id", S.context_lines(t, F.lit(12), F.lit(14)).alias("slice"), F.size(F.split(t, "\n", -1)).alias("lines"), S.citation_holds(t, F.lit(3), F.lit("the")).alias("cited"))
+
+
+@query("select event_type as kind, count(*) n, count(distinct user_id) users, max(ts)::varchar as latest from events group by 1")
+def unresolved_counts(spark, sf_dir):
+    return G.table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("kind")).agg(F.count("*").alias("n"), F.countDistinct("user_id").alias("users"), F.date_format(F.max("ts"), "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("latest"))
+
+
+ORACLES["unresolved_counts"] = "select event_type as kind, count(*) n, count(distinct user_id) users, strftime(max(ts), '%Y-%m-%d %H:%M:%S.%f') as latest from events group by 1"
+
+
+@query("select user_id, event_id, event_type from (select *, row_number() over (partition by user_id order by ts desc, event_id desc) rn from events) where rn = 1")
+def upsert_latest(spark, sf_dir):
+    e = G.table(spark, sf_dir, "events")
+    last = e.groupBy("user_id").agg(F.max(F.struct("ts", "event_id", "event_type")).alias("last"))
+    return last.select("user_id", "last.event_id", "last.event_type")
+
+
+@query("select event_id, json_extract_string(props, '$.k') k from events")
+def json_payload_fields(spark, sf_dir):
+    return G.table(spark, sf_dir, "events").select("event_id", F.get_json_object("props", "$.k").alias("k"))
+
+
+@query("select p_brand, p_type from (select p_brand, min(p_type) p_type, count(distinct p_type) n from part where p_partkey % 40 = 3 group by 1) where n = 1")
+def ambiguity_poison(spark, sf_dir):
+    p = G.table(spark, sf_dir, "part").filter("p_partkey % 40 = 3")
+    return p.groupBy("p_brand").agg(F.min("p_type").alias("p_type"), F.countDistinct("p_type").alias("n")).filter("n = 1").select("p_brand", "p_type")
+
+
+@query("select s_suppkey from supplier where s_suppkey not in (select l_suppkey from lineitem where l_quantity > 45)")
+def prune_stale(spark, sf_dir):
+    live = G.table(spark, sf_dir, "lineitem").filter("l_quantity > 45").select(F.col("l_suppkey").alias("s_suppkey"))
+    return G.table(spark, sf_dir, "supplier").select("s_suppkey").join(live, "s_suppkey", "left_anti")
+
+
+@query(f"with tails as (select file_id, substr(path, i + 1) tail from ({SRC}), unnest(range(0, length(path))) r(i) where i = 0 or substr(path, i, 1) = '/'), u as (select tail, min(file_id) file_id, count(*) n from tails group by 1) select 'p' || p_partkey || '.js' as tail, file_id from part join u on u.tail = 'p' || p_partkey || '.js' where n = 1")
+def suffix_unique_match(spark, sf_dir):
+    from ..operators.resolvers import unique_suffix
+
+    p = G.table(spark, sf_dir, "part")
+    asked = p.select(F.concat(F.lit("p"), F.col("p_partkey").cast("string"), F.lit(".js")).alias("tail"))
+    return unique_suffix(asked, G.source_files(p).select("file_id", "path"))
+
+
+@query(f"select o_orderkey, round(o_totalprice, 2) ms from orders order by o_totalprice desc, o_orderkey limit 20")
+def slowest_topn(spark, sf_dir):
+    return G.table(spark, sf_dir, "orders").orderBy(F.desc("o_totalprice"), "o_orderkey").limit(20).select("o_orderkey", F.round("o_totalprice", 2).alias("ms"))
+
+
+@query()
+def traverse_edges(spark, sf_dir):
+    """All edges of the projected graph, through the whole walk."""
+    facts, own = G.facts_and_links(spark, sf_dir)
+    return derive(G.files(spark, sf_dir), facts, own, G.tests(spark, sf_dir).select("test_id", "file_id", "framework", "fact_id"), max_depth=4).select("test_id", "source", F.round("confidence", 6).alias("confidence"), "partial", F.array_join("provenance", ",").alias("provenance"))
+
+
+@query()
+def direct_dependencies(spark, sf_dir):
+    facts, own = G.facts_and_links(spark, sf_dir)
+    rows, _ = dependencies(G.files(spark, sf_dir), facts, own, G.source_files(G.table(spark, sf_dir, "part")).select("path"))
+    return rows.select("source", "target", F.round("confidence", 6).alias("confidence"), "partial", F.array_join("kinds", ",").alias("kinds"))
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tests_from_sources(spark, sf_dir)
