@@ -21,8 +21,6 @@ from .common import read_table, stage
 
 START, END = "<|im_start|>", "<|im_end|>"
 LEARNT_ROLE = "assistant"
-#: Distances double in each round, so this many rounds reach the root of any tree.
-MOST_ROUNDS = 40
 
 
 def escape(c: Column) -> Column:
@@ -59,7 +57,9 @@ def choose_paths(nodes: DataFrame, branches: int = 1) -> DataFrame:
     state = stage(base.withColumn("depth", F.col("up").isNotNull().cast("long")).withColumn("total", F.col("total")), "tree")
     leaves = state.select("conv", "node").join(state.select("conv", F.col("up").alias("node")).distinct(), ["conv", "node"], "left_anti")
     levels = []
-    for _ in range(MOST_ROUNDS):
+    # distances double in each round, so after these only nodes on and below cycles are left
+    largest = state.groupBy("conv").count().agg(F.max("count")).first()[0] or 1
+    for _ in range(largest.bit_length() + 1):
         if state.filter("up is not null").limit(1).count() == 0:
             break
         levels.append(state.filter("up is not null").select("conv", "node", "up"))
