@@ -34,9 +34,9 @@ TOKENIZER = "word_bpe_49k.json"
 END_ID = 2
 #: Ids in a block, unless a single document has more.
 BLOCK_IDS = 1 << 18
-#: Words whose ids a worker remembers.
-CACHE_WORDS = 600_000
-TEXT_BYTES = 1 << 22
+#: Words, and pieces of words, whose ids a worker remembers (up to about 60 MB).
+CACHE_WORDS = 200_000
+TEXT_BYTES = 1 << 21
 
 # --- tokenizing --------------------------------------------------------------------------
 
@@ -107,6 +107,7 @@ class Encoder:
         edge = edge - edge[0]
         if len(self.words) > CACHE_WORDS:
             self.words.clear()
+        if len(self.pieces) > CACHE_WORDS:
             self.pieces.clear()
         blobs, known = [], self.words
         for word in coded.dictionary.to_pylist():
