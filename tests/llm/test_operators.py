@@ -259,9 +259,8 @@ def test_jaccard(spark, empty):
     assert jaccard_join.jaccard_components(empty).count() == 0
 
 
-def test_shared_dir_is_the_clusters(spark):
-    spark.conf.set("spark.checkpoint.dir", "file:///tmp/impactlake-shared")
-    try:
-        assert shared_dir(spark, "x").startswith("file:///tmp/impactlake-shared/x-")
-    finally:
-        spark.conf.unset("spark.checkpoint.dir")
+def test_shared_dir_is_the_clusters():
+    from types import SimpleNamespace
+
+    session = SimpleNamespace(conf={"spark.checkpoint.dir": "file:///tmp/impactlake-shared"})
+    assert shared_dir(session, "x").startswith("file:///tmp/impactlake-shared/x-")
