@@ -60,7 +60,7 @@ def python_features(span: str, before: str) -> list[float]:
     return [
         len(digits), len(re.sub(r"[^A-Za-z]", "", span)), len(span), len(re.sub(r"[A-Za-z0-9]", "", span)), len(set(digits)), float("(" in span), span.count("."),
         float(bool(re.search(HINTS, before))), float(bool(re.search(AGAINST, before))), float(any(re.fullmatch(r"(?:19|20)[0-9]{2}", g) for g in groups)),
-        float(bool(re.match(r"(?:000|666|9[0-9]{2})-|[01][0-9]*\b", span))), float(_mod97(span)),
+        float(bool(re.match(r"(?:000|666|9[0-9]{2})-|[01][0-9]*\b(?!-[0-9]{2}-)", span))), float(_mod97(span)),
     ]
 
 
@@ -85,7 +85,7 @@ def sql_features(span: Column, before: Column) -> Column:
     parts = [
         F.length(digits), F.length(F.regexp_replace(span, "[^A-Za-z]", "")), F.length(span), F.length(F.regexp_replace(span, "[A-Za-z0-9]", "")), F.size(F.array_distinct(F.filter(F.split(digits, ""), lambda c: c != ""))),
         F.contains(span, F.lit("(")), F.length(F.regexp_replace(span, "[^.]", "")), before.rlike(HINTS), before.rlike(AGAINST), F.exists(groups, lambda g: g.rlike("^(?:19|20)[0-9]{2}$")),
-        span.rlike(r"^(?:(?:000|666|9[0-9]{2})-|[01][0-9]*\b)"), s.rlike("^[A-Z]{2}[0-9]{2}[A-Z0-9]+$") & (rest == 1),
+        span.rlike(r"^(?:(?:000|666|9[0-9]{2})-|[01][0-9]*\b(?!-[0-9]{2}-))"), s.rlike("^[A-Z]{2}[0-9]{2}[A-Z0-9]+$") & (rest == 1),
     ]
     return F.array(*[p.cast("double") for p in parts])
 
@@ -119,7 +119,7 @@ def labelled_samples(n: int = SAMPLES, seed: int = 11) -> list[tuple[str, str, s
             else:
                 span = r.choice([f"{r.randint(10, 31)}-{r.randint(100, 999)}-{r.randint(1900, 2030)}", f"{d(2)}{sep}{d(3)}{sep}{d(3)}", f"{r.randint(1900, 2030)}{sep}{r.randint(1900, 2030)}{sep}{r.randint(1900, 2030)}", f"{d(3, '01')}.{d(3)}.{d(3)}"])
         elif kind == "identity":
-            span = f"{d(3, '2345678') if label else r.choice(['000', '666', '9' + d(2)])}-{d(2)}-{d(4)}"
+            span = f"{d(3, '1234578') if label else r.choice(['000', '666', '9' + d(2)])}-{d(2)}-{d(4)}"
         elif kind == "account":
             span = iban(bool(label))
         else:
