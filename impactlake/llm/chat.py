@@ -17,10 +17,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import read_table, stage
+from .common import partitions, read_table, release, shared_dir, stage
 
 START, END = "<|im_start|>", "<|im_end|>"
 LEARNT_ROLE = "assistant"
+#: Parts in which texts are dealt to their conversations, so that shuffle files hold one part at a time.
+PASSES = 2
+#: Internal key of conversations, and the setting under which a join on more columns keeps it as the only key to deal by.
+KEY, CO_PARTITION = "__conv", "spark.sql.requireAllClusterKeysForCoPartition"
 
 
 def escape(c: Column) -> Column:
@@ -35,14 +39,19 @@ def unescape(c: Column) -> Column:
     return F.regexp_replace(c, r"(?s)\\(.)", "$1")
 
 
+def _keyed(rows: DataFrame) -> DataFrame:
+    """rows with the column KEY; null conversations have a key of their own."""
+    return rows if KEY in rows.columns else rows.withColumn(KEY, F.coalesce(F.col("conv_id").cast("string"), F.lit("\0")))
+
+
 def chain(turns: DataFrame) -> DataFrame:
     """Linear conversations (conv_id, turn, role, text) as reply trees of one branch.
 
     Rows go by turn, equal turns by role and text; null turns come first.
     """
-    order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
-    rows = turns.select("conv_id", "role", "text", F.row_number().over(order).cast("long").alias("node"))
-    return rows.select("conv_id", "node", F.when(F.col("node") > 1, F.col("node") - 1).alias("parent"), "role", "text", F.lit(0.0).alias("score"))
+    order = Window.partitionBy(KEY).orderBy("turn", "role", "text")
+    rows = _keyed(turns).select(KEY, "conv_id", "role", "text", F.row_number().over(order).cast("long").alias("node"))
+    return rows.select(KEY, "conv_id", "node", F.when(F.col("node") > 1, F.col("node") - 1).alias("parent"), "role", "text", F.lit(0.0).alias("score"))
 
 
 def choose_paths(nodes: DataFrame, branches: int = 1) -> DataFrame:
@@ -66,16 +75,31 @@ def choose_paths(nodes: DataFrame, branches: int = 1) -> DataFrame:
         above = state.select("conv", F.col("node").alias("up"), F.col("up").alias("far"), F.col("depth").alias("more"), F.col("total").alias("sum"))
         state = state.join(above, ["conv", "up"], "left").select("conv", "node", F.col("far").alias("up"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"), (F.col("total") + F.coalesce("sum", F.lit(0.0))).alias("total"))
         state = stage(state, "ancestors")
+        release(state.sparkSession)
     ends = state.filter("up is null").join(leaves, ["conv", "node"], "left_semi")
     rank = Window.partitionBy("conv").orderBy(F.desc(F.col("total") / (F.col("depth") + 1)), F.desc("depth"), "node")
     chosen = ends.withColumn("branch", F.row_number().over(rank)).filter(F.col("branch") <= branches)
-    path = chosen.select("conv", "branch", "node", "depth")
+    path = stage(chosen.select("conv", "branch", "node", "depth"), "path")
     for k, level in enumerate(levels):
         up = path.join(level, ["conv", "node"]).select("conv", "branch", F.col("up").alias("node"), (F.col("depth") - (1 << k)).alias("depth"))
-        path = path.union(up)
+        # written, or the plan would double with each level
+        path = path.union(stage(up, "path"))
+        release(path.sparkSession)
     return path
 
 
+def _dealt(nodes: DataFrame) -> DataFrame:
+    """nodes with the column KEY, written in buckets by it; each of the passes shuffles its share of the texts."""
+    spark = nodes.sparkSession
+    path = shared_dir(spark, "nodes")
+    name = "nodes_" + path[-32:]
+    for k in range(PASSES):
+        part = nodes.filter(F.pmod(F.xxhash64(KEY), F.lit(PASSES)) == k).repartition(partitions(spark), KEY)
+        part.write.mode("append").bucketBy(partitions(spark), KEY).option("path", path).option("compression", "zstd").format("parquet").saveAsTable(name)
+        release(spark)
+    return spark.table(name)
+
+
 def format_trees(nodes: DataFrame, branches: int = 1) -> DataFrame:
     """(conv_id, branch, formatted, loss): each chosen path as one conversation.
 
@@ -83,10 +107,21 @@ def format_trees(nodes: DataFrame, branches: int = 1) -> DataFrame:
     A null conv_id is a conversation of its own.  ``loss`` lists the [start, end) code
     points of the escaped assistant texts in ``formatted``.  No nodes: no rows.
     """
-    keyed = nodes.withColumn("conv", F.coalesce(F.col("conv_id").cast("string"), F.lit("\0")))
+    spark = nodes.sparkSession
+    keyed = _dealt(_keyed(nodes).select(KEY, "conv_id", "node", "parent", "role", "text", "score")).withColumnRenamed(KEY, "conv")
     path = choose_paths(keyed.select("conv", "node", "parent", "score"), branches)
+    before = spark.conf.get(CO_PARTITION)
+    try:
+        # texts are dealt by conversation already, and only the paths move
+        spark.conf.set(CO_PARTITION, "false")
+        return stage(_formatted(keyed, path), "chat")
+    finally:
+        spark.conf.set(CO_PARTITION, before)
+
+
+def _formatted(keyed: DataFrame, path: DataFrame) -> DataFrame:
     role, text = F.coalesce("role", F.lit("")), F.coalesce("text", F.lit(""))
-    rows = path.join(keyed.select("conv", "conv_id", "node", "role", "text"), ["conv", "node"])
+    rows = keyed.select("conv", "conv_id", "node", "role", "text").join(path, ["conv", "node"])
     rows = rows.select("conv", "conv_id", "branch", "depth", (role == LEARNT_ROLE).alias("learnt"), F.concat(F.lit(START), escape_role(role), F.lit("\n")).alias("head"), escape(text).alias("body"))
     rows = rows.withColumn("piece", F.concat("head", "body", F.lit(END + "\n")))
     order = Window.partitionBy("conv", "branch").orderBy("depth").rowsBetween(Window.unboundedPreceding, -1)
@@ -125,7 +160,7 @@ def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations and conversation -1, whose texts hold the template's control strings."""
     hard = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(HARD).alias("text"))
     rows = read_table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
-    return chat_digest(stage(format_trees(chain(rows.union(hard))), "chat"))
+    return chat_digest(format_trees(chain(rows.union(hard))))
 
 
 ORACLE_SQL = r"""
