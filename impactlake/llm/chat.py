@@ -63,19 +63,28 @@ def choose_paths(nodes: DataFrame, branches: int = 1) -> DataFrame:
     """
     known = nodes.select("conv", F.col("node").alias("parent")).distinct().withColumn("there", F.lit(True))
     base = nodes.join(known, ["conv", "parent"], "left").select("conv", "node", F.when(F.col("there"), F.col("parent")).alias("up"), F.coalesce("score", F.lit(0.0)).alias("total"))
-    state = stage(base.withColumn("depth", F.col("up").isNotNull().cast("long")).withColumn("total", F.col("total")), "tree")
+    state = stage(base.select("conv", "node", "up", F.col("up").isNotNull().cast("long").alias("depth"), "total"), "tree")
     leaves = state.select("conv", "node").join(state.select("conv", F.col("up").alias("node")).distinct(), ["conv", "node"], "left_anti")
-    levels = []
+    levels, settled = [], []
     # distances double in each round, so after these only nodes on and below cycles are left
     largest = state.groupBy("conv").count().agg(F.max("count")).first()[0] or 1
     for _ in range(largest.bit_length() + 1):
-        if state.filter("up is not null").limit(1).count() == 0:
+        moving = state.filter("up is not null")
+        if moving.limit(1).count() == 0:
             break
-        levels.append(state.filter("up is not null").select("conv", "node", "up"))
+        levels.append(moving.select("conv", "node", "up"))
         above = state.select("conv", F.col("node").alias("up"), F.col("up").alias("far"), F.col("depth").alias("more"), F.col("total").alias("sum"))
-        state = state.join(above, ["conv", "up"], "left").select("conv", "node", F.col("far").alias("up"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"), (F.col("total") + F.coalesce("sum", F.lit(0.0))).alias("total"))
-        state = stage(state, "ancestors")
+        moved = moving.join(above, ["conv", "up"], "left").select("conv", "node", F.col("far").alias("up"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"), (F.col("total") + F.coalesce("sum", F.lit(0.0))).alias("total"))
+        moved = stage(moved, "ancestors")
+        whole = state.filter("up is null").unionByName(moved)
+        # conversations of which all nodes know their root are not looked at again
+        unsettled = stage(moved.filter("up is not null").select("conv").distinct(), "unsettled")
+        columns = ["conv", "node", "up", "depth", "total"]
+        settled.append(stage(whole.join(unsettled, "conv", "left_anti").select(*columns), "settled"))
+        state = stage(whole.join(unsettled, "conv", "left_semi").select(*columns), "tree")
         release(state.sparkSession)
+    for part in settled:
+        state = state.unionByName(part)
     ends = state.filter("up is null").join(leaves, ["conv", "node"], "left_semi")
     rank = Window.partitionBy("conv").orderBy(F.desc(F.col("total") / (F.col("depth") + 1)), F.desc("depth"), "node")
     chosen = ends.withColumn("branch", F.row_number().over(rank)).filter(F.col("branch") <= branches)
