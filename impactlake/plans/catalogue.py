@@ -80,6 +80,14 @@ def sources_from_tests(spark, sf_dir):
     return rows.withColumn("confidence", F.round("confidence", 6))
 
 
+@query(f"select test_id, source, framework, {CLASS}, round(confidence, 6) confidence, partial from ({EDGES})")
+def sources_from_all_tests(spark, sf_dir):
+    """As sources_from_tests, asked for every test."""
+    tests = G.tests(spark, sf_dir)
+    rows, _ = lookup.sources_from_tests(edge_table(spark, sf_dir), tests, tests.select("test_id"))
+    return rows.withColumn("confidence", F.round("confidence", 6))
+
+
 @query(f"select 'src/asked/p' || p_partkey || '.php' path from part where p_size < 3 union all select 'nowhere' from part where p_size = 1")
 def unknown_paths(spark, sf_dir):
     p = G.table(spark, sf_dir, "part")
@@ -229,6 +237,13 @@ def ambiguity_poison(spark, sf_dir):
     return p.groupBy("p_brand").agg(F.min("p_type").alias("p_type"), F.countDistinct("p_type").alias("n")).filter("n = 1").select("p_brand", "p_type")
 
 
+@query("select p_partkey // 2 symbol, min(p_brand) p_brand from part group by 1 having count(distinct p_brand) = 1")
+def ambiguity_poison_all(spark, sf_dir):
+    """As ambiguity_poison, over all of part: the symbols of links (P followed by p_partkey // 2) that one brand alone has."""
+    p = G.table(spark, sf_dir, "part").groupBy(F.expr("p_partkey div 2").alias("symbol"))
+    return p.agg(F.min("p_brand").alias("p_brand"), F.countDistinct("p_brand").alias("n")).filter("n = 1").select("symbol", "p_brand")
+
+
 @query("select s_suppkey from supplier where s_suppkey not in (select l_suppkey from lineitem where l_quantity > 45)")
 def prune_stale(spark, sf_dir):
     live = G.table(spark, sf_dir, "lineitem").filter("l_quantity > 45").select(F.col("l_suppkey").alias("s_suppkey"))
@@ -253,7 +268,7 @@ def slowest_topn(spark, sf_dir):
 def traverse_edges(spark, sf_dir):
     """All edges of the projected graph, through the whole walk."""
     facts, own = G.facts_and_links(spark, sf_dir)
-    return derive(G.files(spark, sf_dir), facts, own, G.tests(spark, sf_dir).select("test_id", "file_id", "framework", "fact_id"), max_depth=4).select("test_id", "source", F.round("confidence", 6).alias("confidence"), "partial", F.array_join("provenance", ",").alias("provenance"))
+    return derive(G.files(spark, sf_dir), facts, own, G.tests(spark, sf_dir).select("test_id", "file_id", "framework", "fact_id")).select("test_id", "source", F.round("confidence", 6).alias("confidence"), "partial", F.array_join("provenance", ",").alias("provenance"))
 
 
 @query()
