@@ -16,6 +16,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +35,8 @@ BLOCK_WINDOWS = 1_000_000
 BLOCK_ITEMS = 20_000
 #: A document with windows of so many items is contaminated.
 MIN_ITEMS = 2
+#: Column of a row's number where several passes are united.
+ROW = "__row"
 
 _IS_WORD = np.zeros(256, bool)
 _IS_WORD[48:58] = _IS_WORD[65:91] = _IS_WORD[97:123] = True
@@ -129,8 +132,8 @@ def _hits(held):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         blocks: list[Windows] = held.value
         for batch in batches:
-            ids = batch.column(0)
-            for lo, hi, h, edge in _words_of(batch.column(1)):
+            *keys, texts = batch.columns
+            for lo, hi, h, edge in _words_of(texts):
                 n = hi - lo
                 hit = np.zeros(len(h) + 1, np.int64)
                 docs, items = [], []
@@ -161,19 +164,20 @@ def _hits(held):
                             s, d = stop, d + 1
                 yield pa.RecordBatch.from_arrays(
                     [
-                        ids.slice(lo, n),
+                        *(k.slice(lo, n) for k in keys),
                         pa.array(np.diff(edge), pa.int64()),
                         pa.array(total[edge[1:]] - total[edge[:-1]], pa.int64()),
                         pa.array([pairs[1][a:b].tolist() for a, b in zip(cut[:-1], cut[1:], strict=True)], pa.list_(pa.int64())),
                         pa.array(spans, pa.list_(pa.list_(pa.int64()))),
                     ],
-                    names=["doc_id", "n_words", "n_hit", "items", "spans"],
+                    names=[*batch.schema.names[:-1], "n_words", "n_hit", "items", "spans"],
                 )
 
     return run
 
 
-SCHEMA = "doc_id long, n_words long, n_hit long, items array<long>, spans array<array<long>>"
+FOUND = "n_words long, n_hit long, items array<long>, spans array<array<long>>"
+SCHEMA = "doc_id long, " + FOUND
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -181,24 +185,34 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
     ``items``: sorted ids of the items of which a window occurs; ``spans``: the runs of
     words hit, as [first, end) word numbers.  Null and wordless texts have no words.
-    An empty benchmark, or one without words: no hits.  Rows with the same id stay rows
-    of their own when one block holds the benchmark, and are united otherwise.  Items
-    with the same id are one item with the windows of both.  Other columns are not read.
+    An empty benchmark, or one without words: no hits.  Rows with the same id, or none,
+    stay rows of their own.  Items with the same id are one item with the windows of
+    both.  Other columns are not read.
     """
-    spark = docs.sparkSession
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    out = None
-    for block in _blocks(benchmark.select(F.col(item_col).cast("long").alias("item"), F.col(item_text).cast("string").alias("text")).filter("item is not null")):
-        part = texts.mapInArrow(_hits(spark.sparkContext.broadcast(block)), SCHEMA)
-        out = (None, part) if out is None else (True, out[1].union(stage(part, "hits")))
-    if out is None:
-        return texts.mapInArrow(_hits(spark.sparkContext.broadcast([])), SCHEMA)
-    if out[0] is None:
-        return out[1]
-    both = out[1].groupBy("doc_id").agg(F.max("n_words").alias("n_words"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"))
+    blocks = _blocks(benchmark.select(F.col(item_col).cast("long").alias("item"), F.col(item_text).cast("string").alias("text")).filter("item is not null"))
+    first, second = next(blocks, []), next(blocks, None)
+    if second is None:
+        return texts.mapInArrow(_hits(docs.sparkSession.sparkContext.broadcast(first)), SCHEMA)
+    return _united(_keyed(texts), chain([first, second], blocks), SCHEMA).drop(ROW)
+
+
+def _keyed(rows: DataFrame) -> DataFrame:
+    """``rows`` with a number of each row, written once so that every pass meets the same numbers."""
+    return stage(rows.select(F.monotonically_increasing_id().alias(ROW), *rows.columns), "rows")
+
+
+def _united(keyed: DataFrame, blocks: Iterator[list[Windows]], schema: str) -> DataFrame:
+    """The hits of all blocks in each row of ``keyed`` (ROW, columns that ``schema`` has before those of FOUND, text)."""
+    context, out = keyed.sparkSession.sparkContext, None
+    for block in blocks:
+        part = stage(keyed.mapInArrow(_hits(context.broadcast(block)), f"{ROW} long, {schema}"), "hits")
+        out = part if out is None else out.union(part)
+    keys = keyed.columns[:-1]
+    both = out.groupBy(*keys).agg(F.max("n_words").alias("n_words"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"))
     merged = F.expr("aggregate(spans, cast(array() as array<array<bigint>>), (a, s) -> if(size(a) > 0 and element_at(a, -1)[1] >= s[0], concat(slice(a, 1, size(a) - 1), array(array(element_at(a, -1)[0], greatest(element_at(a, -1)[1], s[1])))), concat(a, array(s))))")
     both = both.withColumn("spans", merged)
-    return both.select("doc_id", "n_words", F.expr("aggregate(spans, 0L, (n, s) -> n + s[1] - s[0])").alias("n_hit"), "items", "spans")
+    return both.select(*keys, "n_words", F.expr("aggregate(spans, 0L, (n, s) -> n + s[1] - s[0])").alias("n_hit"), "items", "spans")
 
 
 def _blocks(items: DataFrame) -> Iterator[list[Windows]]:
@@ -236,16 +250,17 @@ def _clean(held, column: int, min_items: int):
 def decontaminated(docs: DataFrame, benchmark: DataFrame, min_items: int = MIN_ITEMS) -> DataFrame:
     """``docs`` (doc_id, text and any columns more) without the contaminated documents; all columns stay.
 
-    With a benchmark of one block this is a filter within the scan; with more, documents
-    are looked up among the contaminated ids.
+    Each row stands alone, whatever its id.  With a benchmark of one block this is a
+    filter within the scan; with more, rows are looked up by their number.
     """
     items = benchmark.select(F.col("item_id").cast("long").alias("item"), F.col("text").cast("string").alias("text")).filter("item is not null")
     blocks = _blocks(items)
-    first = next(blocks, [])
-    if next(blocks, None) is None:
+    first, second = next(blocks, []), next(blocks, None)
+    if second is None:
         return docs.mapInArrow(_clean(docs.sparkSession.sparkContext.broadcast(first), docs.columns.index("text"), min_items), docs.schema)
-    bad = contamination(docs, benchmark).filter(F.size("items") >= min_items).select(F.col("doc_id").alias("__bad"))
-    return docs.join(bad, docs["doc_id"] == F.col("__bad"), "left_anti")
+    keyed = _keyed(docs)
+    bad = _united(keyed.select(ROW, F.col("text").cast("string").alias("text")), chain([first, second], blocks), FOUND).filter(F.size("items") >= min_items).select(ROW)
+    return keyed.join(bad, ROW, "left_anti").drop(ROW)
 
 
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -218,6 +218,24 @@ def test_decontamination(spark, docs, empty):
     assert {x.n_hit for x in decontaminate.contamination(docs, bench.limit(0)).collect()} == {0}
 
 
+def test_decontamination_in_blocks(spark, monkeypatch):
+    passage = [f"k{i} l m n o p q r{i}" for i in range(6)]
+    rows = [(7, passage[0]), (7, "clean words"), (None, passage[0] + " and " + passage[4]), (None, "clean"), (None, passage[5]), (7, None), (8, passage[0] + " " + passage[3])]
+    df = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "doc_id long, text string, place int").repartition(3)
+    bench = spark.createDataFrame([(i, p) for i, p in enumerate(passage)], "item_id long, text string")
+
+    def key(x):
+        return repr(tuple(x))
+
+    def both():
+        return [sorted(map(key, decontaminate.contamination(df, bench).collect())), sorted(map(key, decontaminate.decontaminated(df, bench, 1).collect())), sorted(map(key, decontaminate.decontaminated(df, bench, 2).collect()))]
+
+    one = both()
+    assert (len(one[0]), len(one[1]), len(one[2])) == (7, 3, 5)
+    monkeypatch.setattr(decontaminate, "BLOCK_ITEMS", 2)
+    assert both() == one
+
+
 def components(texts):
     sets = []
     for t in texts:
