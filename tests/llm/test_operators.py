@@ -190,6 +190,22 @@ def test_licences(spark, docs, empty):
         break
 
 
+def test_licence_runs(spark):
+    header = ["Licensed under the Apache License, Version 2.0 (the \"License\");", "you may not use this file except in compliance with the License.", "You may obtain a copy of the License at", "", "    http://www.apache.org/licenses/LICENSE-2.0"]
+    code = [f"int value_{i} = compute_{i}(argument_{i});" for i in range(30)]
+    mit = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:".split()
+    texts = [
+        "\n".join(["/*", *(" * " + x for x in header), " */", *code]), "\n".join([*("# " + x for x in header), *code]), "\r\n".join(["intro words here", "", *mit[:1], " ".join(mit[1:30]), " ".join(mit[30:]), "", *code]),
+        " ".join([*["padding of other words"] * 30, "Released under the MIT License.", *["and then more of them"] * 30]), "\n".join(["some text before", *code, "which was released under the", "MIT License. and goes on", *code]),
+        " ".join([f"w{i}" for i in range(200)] + ["license", "version"]), "Released under the MIT License.", "Released under the MIT License. Licensed under CC BY 4.0.",
+    ]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: [(m.line, m.licence) for m in r.matches] for r in licenses.licence_matches(df).collect()}
+    assert {x for _, x in got[0]} == {x for _, x in got[1]} == {"Apache-2.0"} and {x for _, x in got[2]} == {"MIT"}
+    assert got[3] == [(0, "MIT")] and got[4] == [(31, "MIT")] and got[5] == [] and got[6] == [(0, "MIT")]
+    assert sorted(got[7]) == [(0, "CC-BY-4.0"), (0, "MIT")]
+
+
 def brute_windows(text, items):
     pattern = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
     w, hit, met = words(text, pattern), set(), set()
