@@ -142,9 +142,8 @@ def licence_matches(docs: DataFrame, templates: list[tuple[str, str]] | None = N
     lines = F.split("text", "\n", -1)
     paragraphs = F.when(F.contains(F.col("text"), F.lit("\n\n")) | F.col("text").rlike(r"\n[\x20\t]+\n"), F.split("text", r"\n[\x20\t]*+\n", -1)).otherwise(F.array("text"))
     units = F.concat(F.transform(lines, lambda u, i: F.struct(i.alias("line"), i.alias("place"), u.alias("unit"))), F.transform(F.filter(F.transform(paragraphs, lambda p, i: F.struct(i.alias("place"), p.alias("unit"))), lambda p: F.contains(p["unit"], F.lit("\n"))), lambda u, i: F.struct((i + F.size(lines)).alias("line"), (u["place"] + F.size(lines)).alias("place"), u["unit"].alias("unit"))))
-    # most units are ruled out by their length before any word is looked at
-    longest = most * 80 + 200
-    units = F.filter(units, lambda u: F.length(u["unit"]).between(2 * fewest + 1, longest))
+    # short units are ruled out by their length before any word is looked at; a long one may repeat few bigrams
+    units = F.filter(units, lambda u: F.length(u["unit"]) > 2 * fewest)
     words = F.transform(units, lambda u: F.struct(u["line"], u["place"], sql_words(u["unit"]).alias("words")))
     words = F.filter(words, lambda u: F.size(u["words"]) > fewest)
     grams = F.transform(words, lambda u: F.struct(u["line"], u["place"], F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(u["words"]) - 1), lambda i: F.concat(F.get(u["words"], i - 1), F.lit(" "), F.get(u["words"], i)))).alias("grams")))

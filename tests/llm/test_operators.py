@@ -206,6 +206,13 @@ def test_licence_runs(spark):
     assert sorted(got[7]) == [(0, "CC-BY-4.0"), (0, "MIT")]
 
 
+def test_licence_in_long_units(spark):
+    notice = "Released under the MIT License. "
+    df = spark.createDataFrame([(0, notice * 400), (1, notice + "*" * 9000 + " end"), (2, (notice + "\n") * 2 + "-" * 9000)], "doc_id long, text string")
+    got = {r.doc_id: [(m.line, m.licence, m.dice) for m in r.matches] for r in licenses.licence_matches(df).collect()}
+    assert got == {0: [(0, "MIT", 888)], 1: [(0, "MIT", 888)], 2: [(0, "MIT", 1000), (1, "MIT", 1000), (3, "MIT", 888)]}
+
+
 def brute_windows(text, items):
     pattern = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
     w, hit, met = words(text, pattern), set(), set()
