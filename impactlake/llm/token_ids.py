@@ -15,6 +15,7 @@ The format, written in ascending order of ids by any store Spark can write to:
 from __future__ import annotations
 
 import json
+import os
 import re
 import zlib
 from collections.abc import Iterator
@@ -28,99 +29,172 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import partitions, read_table, release, shared_dir, stage
-from .textvec import runs, utf8_arrays
+from .textvec import runs, utf8_arrays, word_spans
 
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 2
 #: Ids in a block, unless a single document has more.
 BLOCK_IDS = 1 << 18
-#: Words, and pieces of words, whose ids a worker remembers (up to about 60 MB).
-CACHE_WORDS = 200_000
-TEXT_BYTES = 1 << 21
+#: Pieces whose ids a worker remembers (about 30 bytes each); the oldest go first.
+CACHE_PIECES = 400_000
+#: Bytes of text that are split at a time; a longer text is a run of its own.
+TEXT_BYTES = 1 << 22
+#: Pieces that go through the library at a time.
+CALL_PIECES = 2000
 
 # --- tokenizing --------------------------------------------------------------------------
 
-#: The normaliser and splitter for which a text's ids are those of its words.
+#: The splitter for which a text's ids are those of its pieces.
 _WORD_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-#: Printable ASCII and the letters of Latin-1: no normal form changes them, and their classes are known.
-_PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]+")
-_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
-
-
-def _byte_letters() -> dict[int, str]:
-    """The byte-level alphabet: printable bytes stand for themselves, others follow from 256 on."""
-    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    rest = [b for b in range(256) if b not in plain]
-    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
+_SPACE, _LETTER, _DIGIT, _MARK, _HARD = range(5)
+#: What a byte is.  Letters of Latin-1 are C3 and a second byte; whatever else is not ASCII is left to the library.
+_CLASS = np.full(256, _HARD, np.uint8)
+_CLASS[33:127] = _MARK
+_CLASS[48:58] = _DIGIT
+_CLASS[65:91] = _CLASS[97:123] = _CLASS[0xC3] = _LETTER
+_CLASS[[9, 10, 11, 12, 13, 32]] = _SPACE
+_CLASS[0x27] = _HARD  # what follows an apostrophe may be a piece with it
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+
+
+def classified(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(lower-case bytes, class of each byte) of UTF-8 bytes."""
+    kind, low = _CLASS[raw], _LOWER[raw]
+    lead = np.flatnonzero(raw[:-1] == 0xC3) if len(raw) else np.zeros(0, np.int64)
+    if len(lead):
+        second = raw[lead + 1]
+        sign = (second == 0x97) | (second == 0xB7)
+        kind[lead[sign]] = _HARD
+        kind[lead + 1] = np.where(sign, _HARD, _LETTER)
+        upper = lead[(second <= 0x9E) & ~sign] + 1
+        low[upper] += 0x20
+    start = np.flatnonzero(raw[:-1] == 0x3C) if len(raw) else np.zeros(0, np.int64)
+    kind[start[raw[start + 1] == 0x7C]] = _HARD  # "<|" may begin a special token
+    return low, kind
 
 
 class Encoder:
-    """ids(texts): what ``tokenizer.encode(text, add_special_tokens=False)`` gives, by distinct words.
+    """ids(texts): what ``tokenizer.encode(text, add_special_tokens=False)`` gives, by distinct pieces.
 
     With the recognised normaliser and splitter no piece spans white space, so the ids of
-    a text are those of its words.  Plain words are split here and merged by the library's
-    model; any other word goes through the whole tokenizer.  With another tokenizer whole
-    texts go through it.
+    a text are those of its pieces, and the library merges each distinct piece of a run of
+    texts once.  Words of ASCII and the letters of Latin-1 are cut into pieces here, where
+    no normal form changes them; any other word goes through the library whole.  With
+    another tokenizer whole texts go through it.
     """
 
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         made = json.loads(self.tokenizer.to_str())
         normal = [x["type"] for x in (made.get("normalizer") or {}).get("normalizers", [])]
         first = (made.get("pre_tokenizer") or {}).get("pretokenizers", [{}])[0]
-        self.by_word = normal == ["NFC", "Replace", "Lowercase"] and first.get("pattern", {}).get("Regex") == _WORD_SPLIT
-        self.special = [x["content"] for x in made.get("added_tokens", [])]
-        self.by_word &= all(x.startswith("<|") and not re.search(r"\s", x) for x in self.special)
-        self.width = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
-        self.letters = str.maketrans({b: c for b, c in _byte_letters().items() if chr(b) != c})
-        self.words: dict[str, bytes] = {}
-        self.pieces: dict[str, list[int]] = {}
-
-    def _piece(self, piece: str) -> list[int]:
-        got = self.pieces.get(piece)
-        if got is None:
-            shown = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.letters)
-            got = self.pieces[piece] = [t.id for t in self.tokenizer.model.tokenize(shown)]
-        return got
-
-    def word(self, word: str) -> bytes:
-        if word.isascii() and word.isalpha():
-            ids = self._piece(word.lower())
-        elif "<|" not in word and _PLAIN.fullmatch(word):
-            ids = [i for p in _PIECES.findall(word.lower()) for i in self._piece(p)]
-        else:
-            ids = self.tokenizer.encode(word, add_special_tokens=False).ids
-        return np.array(ids, self.width).tobytes()
+        self.by_piece = normal == ["NFC", "Replace", "Lowercase"] and first.get("pattern", {}).get("Regex") == _WORD_SPLIT and made["model"].get("end_of_word_suffix") == "</w>"
+        special = [x["content"] for x in made.get("added_tokens", [])]
+        self.by_piece &= all(x.startswith("<|") and not re.search(r"\s", x) for x in special)
+        vocab = self.tokenizer.get_vocab()
+        self.width = np.dtype("<u2") if max(vocab.values()) < 1 << 16 else np.dtype("<u4")
+        self.ends = np.zeros(max(vocab.values()) + 1, bool)
+        self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known, self.size, self.pool = pa.array([], pa.large_binary()), np.zeros(0, np.int64), np.zeros(0, self.width)
+
+    def _merged(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, self.width) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _new(self, pieces: pa.Array, hard: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(numbers of ids, ids) of distinct pieces; ``hard``: a word that the library has to split."""
+        said = pieces.to_pylist()
+        plain, slow = np.flatnonzero(~hard), np.flatnonzero(hard)
+        order, size, pool = [], [], [np.zeros(0, self.width)]
+        for lo in range(0, len(plain), CALL_PIECES):
+            some = plain[lo : lo + CALL_PIECES]
+            (flat,) = self._merged([b" ".join([said[i] for i in some.tolist()]).decode()])
+            cut = np.flatnonzero(self.ends[flat]) + 1
+            if len(cut) != len(some):
+                slow = np.concatenate([slow, some])
+                continue
+            order.append(some)
+            size.append(np.diff(cut, prepend=0))
+            pool.append(flat)
+        for lo in range(0, len(slow), CALL_PIECES):
+            some = slow[lo : lo + CALL_PIECES]
+            each = self._merged([said[i].decode() for i in some.tolist()])
+            order.append(some)
+            size.append(np.array([len(x) for x in each], np.int64))
+            pool += each
+        if not order:
+            return np.zeros(0, np.int64), pool[0]
+        got = np.concatenate(size)
+        back = np.argsort(np.concatenate(order))
+        return got[back], np.concatenate(pool)[runs((np.cumsum(got) - got)[back], got[back])]
+
+    def _looked_up(self, pieces: pa.Array, hard: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(numbers of ids, ids) of distinct pieces, the remembered ones first looked up."""
+        place = pc.fill_null(pc.index_in(pieces, value_set=self.known), -1).to_numpy().astype(np.int64)
+        new = np.flatnonzero(place < 0)
+        fresh = pieces.take(pa.array(new))
+        size, pool = self._new(fresh, hard[new])
+        if len(self.known) + len(new) > CACHE_PIECES:
+            # the pieces of this run stay, older ones go
+            met = np.flatnonzero(place >= 0)
+            old = place[met]
+            at = np.cumsum(self.size) - self.size
+            self.pool, self.size, self.known = self.pool[runs(at[old], self.size[old])], self.size[old], pieces.take(pa.array(met))
+            place[met] = np.arange(len(met))
+        place[new] = len(self.known) + np.arange(len(new))
+        self.known = pa.concat_arrays([self.known, fresh])
+        self.size, self.pool = np.concatenate([self.size, size]), np.concatenate([self.pool, pool])
+        at = np.cumsum(self.size) - self.size
+        out = self.size[place], self.pool[runs(at[place], self.size[place])]
+        if len(self.known) > 2 * CACHE_PIECES:
+            self._forget()
+        return out
 
     def ids(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
         """All texts' ids, each with ``end`` after it, and the ids before each text."""
-        if not self.by_word:
-            each = [e.ids for e in self.tokenizer.encode_batch_fast(texts.to_pylist(), add_special_tokens=False)]
+        if not self.by_piece:
+            each = self._merged(texts.to_pylist())
             before = np.concatenate([[0], np.cumsum([len(x) + 1 for x in each])]).astype(np.int64)
-            return np.array([i for x in each for i in [*x, end]], self.width), before
-        split = pc.ascii_split_whitespace(texts)
-        edge = np.asarray(split.offsets).astype(np.int64)
-        coded = pc.dictionary_encode(split.values)
-        which = np.asarray(coded.indices)[edge[0] : edge[-1]]
-        edge = edge - edge[0]
-        if len(self.words) > CACHE_WORDS:
-            self.words.clear()
-        if len(self.pieces) > CACHE_WORDS:
-            self.pieces.clear()
-        blobs, known = [], self.words
-        for word in coded.dictionary.to_pylist():
-            got = known.get(word)
-            if got is None:
-                got = known[word] = self.word(word)
-            blobs.append(got)
-        size = np.array([len(b) for b in blobs], np.int64) // self.width.itemsize
-        pool = np.frombuffer(b"".join(blobs), self.width)
-        first = np.cumsum(size) - size
-        of_word = size[which]
-        flat = pool[runs(first[which], of_word)]
-        before = np.concatenate([[0], np.cumsum(of_word)])[edge]
+            return np.concatenate([np.append(x, np.array([end], self.width)) for x in each]) if each else np.zeros(0, self.width), before
+        raw, at = utf8_arrays(texts)
+        low, kind = classified(raw)
+        # words, and which of them the library has to split
+        first, last, _ = word_spans(kind, at, np.arange(256) != _SPACE)
+        odd = np.flatnonzero(kind == _HARD)
+        hard = np.searchsorted(odd, last) > np.searchsorted(odd, first)
+        slow = np.flatnonzero(hard)
+        if len(slow):
+            inside = runs(first[slow], last[slow] - first[slow])
+            low[inside], kind[inside] = raw[inside], _HARD
+        # a piece begins where the class changes, at every digit and at every text
+        begins = np.empty(len(raw), bool)
+        if len(raw):
+            begins[0] = True
+            np.not_equal(kind[1:], kind[:-1], out=begins[1:])
+            begins |= kind == _DIGIT
+            begins[first] = True
+            begins &= kind != _SPACE
+        start = np.flatnonzero(begins)
+        # pieces one after the other, without the white space between words
+        dense = low[kind != _SPACE]
+        spaces = first - np.concatenate([[0], np.cumsum(last - first)])[:-1]
+        offsets = np.append(start - spaces[np.searchsorted(first, start, side="right") - 1], len(dense))
+        pieces = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(offsets), pa.py_buffer(dense)])
+        coded = pc.dictionary_encode(pieces)
+        which = np.asarray(coded.indices)
+        # whether a distinct piece is a hard word: all equal pieces are
+        hard_piece = np.zeros(len(coded.dictionary), bool)
+        hard_piece[which] = kind[start] == _HARD
+        size, pool = self._looked_up(coded.dictionary, hard_piece)
+        of_piece = size[which]
+        flat = pool[runs((np.cumsum(size) - size)[which], of_piece)]
+        before = np.concatenate([[0], np.cumsum(of_piece)])[np.searchsorted(start, at)]
         doc = np.repeat(np.arange(len(texts)), np.diff(before))
         out = np.full(len(flat) + len(texts), end, self.width)
         out[np.arange(len(flat)) + doc] = flat
