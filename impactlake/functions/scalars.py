@@ -2,17 +2,32 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Languages by extension (fixed values).
 LANGUAGES = {"php": "php", "ts": "ts", "tsx": "tsx", "js": "js", "jsx": "jsx", "mjs": "mjs", "cjs": "cjs"}
 FRAMEWORKS = ["phpunit", "jest", "playwright", "qunit"]
-#: Constants that stand for methods (fixed values).
-METHOD_CONSTANTS = {"READABLE": "GET", "CREATABLE": "POST", "EDITABLE": "POST,PUT,PATCH", "DELETABLE": "DELETE", "ALLMETHODS": "GET,POST,PUT,PATCH,DELETE"}
+#: Methods of the class constants of the REST server (fixed values).
+METHOD_CONSTANTS = {"READABLE": "GET", "CREATABLE": "POST", "EDITABLE": "POST, PUT, PATCH", "DELETABLE": "DELETE", "ALLMETHODS": "GET, POST, PUT, PATCH, DELETE"}
 #: Modules of the JavaScript runtime (fixed values).
-NODE_MODULES = ["assert", "async_hooks", "buffer", "child_process", "cluster", "console", "constants", "crypto", "dgram", "diagnostics_channel", "dns", "domain", "events", "fs", "http", "http2", "https", "inspector", "module", "net", "os", "path", "perf_hooks", "process", "punycode", "querystring", "readline", "repl", "stream", "string_decoder", "sys", "timers", "tls", "trace_events", "tty", "url", "util", "v8", "vm", "wasi", "worker_threads", "zlib"]
-ASSETS = r"\.(?:css|scss|sass|less|svg|png|jpe?g|gif|webp|avif|ico|woff2?|ttf|eot|otf|mp4|webm|mp3|json|md|txt|html|graphql|gql)$"
+NODE_MODULES = (
+    "assert async_hooks buffer child_process cluster console constants crypto dgram diagnostics_channel dns domain events fs fs/promises http http2 https inspector module net os path path/posix path/win32 "
+    "perf_hooks process punycode querystring readline repl stream stream/consumers stream/promises stream/web string_decoder sys test timers timers/promises tls trace_events tty url util util/types v8 vm wasi worker_threads zlib"
+).split()
+#: Extensions of files that bundlers take for assets (fixed values).
+ASSETS = "scss sass css less stylus styl json json5 yaml yml svg png jpg jpeg gif webp avif ico woff woff2 ttf otf eot mp3 mp4 webm wav md mdx txt html wasm".split()
+#: Pages of the administration that have no slug (fixed values).
+CORE_ADMIN_PAGES = (
+    "index.php edit.php edit-tags.php post.php post-new.php upload.php media-new.php themes.php theme-editor.php plugins.php plugin-editor.php users.php user-new.php profile.php tools.php "
+    "options-general.php options-writing.php options-reading.php options-discussion.php options-media.php options-permalink.php admin.php"
+).split()
+#: Pages that a plain URL below /wp-admin/ names (fixed values).
+URL_ADMIN_PAGES = [p for p in CORE_ADMIN_PAGES if p not in ("theme-editor.php", "plugin-editor.php", "admin.php")]
+#: Folders of compiled files where no setting names others (fixed values).
+OUTPUT_FOLDERS = ("build", "dist")
 
 
 def null_if(c: Column, bad: Column) -> Column:
@@ -30,34 +45,25 @@ def classify_language(path: Column) -> Column:
     return F.when(path.rlike(r"\.d\.(?:ts|tsx|mts|cts)$"), F.lit(None)).otherwise(F.try_element_at(table, ext))
 
 
+_GLOB = re.compile(r"(?P<deep>\*\*/?)|(?P<star>\*)|(?P<one>\?)|\[(?P<set>[^\]]*)\]|\{(?P<any>[^}]*)\}|(?P<rest>.)", re.DOTALL)
+
+
+def _plain(text: str) -> str:
+    return re.sub(r"([^A-Za-z0-9_/ -])", r"\\\1", text)
+
+
 def glob_regex(glob: str) -> str:
-    """A regular expression for a glob: ``**`` crosses folders, ``*`` and ``?`` do not, ``{a,b}`` are literals."""
-    if not glob:
-        return "(?!)"
-    out, i = "^", 0
-    special = set(".+^$()|{}[]\\")
-    while i < len(glob):
-        c = glob[i]
-        if glob.startswith("**", i):
-            i += 3 if glob.startswith("/", i + 2) else 2
-            out += ".*"
-            continue
-        if c == "*":
-            out += "[^/]*"
-        elif c == "?":
-            out += "[^/]"
-        elif c == "[" and "]" in glob[i:]:
-            end = glob.index("]", i)
-            out += "[" + glob[i + 1 : end].replace("\\", "\\\\").replace("!", "^", 1) + "]"
-            i = end
-        elif c == "{" and "}" in glob[i:]:
-            end = glob.index("}", i)
-            out += "(?:" + "|".join("".join("\\" + x if x in special or x in "*?" else x for x in part) for part in glob[i + 1 : end].split(",")) + ")"
-            i = end
-        else:
-            out += "\\" + c if c in special else c
-        i += 1
-    return out + "$"
+    """A regular expression for a glob: ``**`` crosses folders, ``*`` and ``?`` do not, ``{a,b}`` are literals; nothing matches the empty glob."""
+
+    def one(m: re.Match) -> str:
+        if m["set"] is not None:
+            inside = re.sub(r"([\\\[&])", r"\\\1", m["set"])
+            return f"[{inside}]" if inside else "(?!)"
+        if m["any"] is not None:
+            return "(?:" + "|".join(map(_plain, m["any"].split(","))) + ")"
+        return {"deep": ".*", "star": "[^/]*", "one": "[^/]"}.get(m.lastgroup) or _plain(m["rest"])
+
+    return "^" + _GLOB.sub(one, glob) + r"\z" if glob else "(?!)"
 
 
 def matches_any(path: Column, globs: list[str]) -> Column:
@@ -77,15 +83,43 @@ def is_vendor(path: Column) -> Column:
     return path.rlike("(?:^|/)vendor/")
 
 
+def _steps(path: Column, escape: bool) -> Column:
+    """array<string> of a path's parts, ``.`` dropped and ``..`` taken away; above the root null if ``escape``, else dropped."""
+    nothing = F.array().cast("array<string>")
+    up = lambda a: F.when(F.size(a) > 0, F.slice(a, F.lit(1), F.size(a) - 1)).otherwise(F.lit(None).cast("array<string>") if escape else nothing)
+    step = lambda a, p: F.when(a.isNull() | p.isin("", "."), a).when(p == "..", up(a)).otherwise(F.concat(a, F.array(p)))
+    return F.aggregate(F.split(path, "/", -1), nothing, step)
+
+
+def project_path(path: Column) -> Column:
+    """struct<path, error> of a path below the project's root."""
+    parts = _steps(path, True)
+    error = F.when(path == "", "empty").when(path.rlike(r"^(?:/|[A-Za-z]:[\\/])"), "absolute").when(F.contains(path, F.lit("\0")), "nul-byte").when(parts.isNull() | (F.size(parts) == 0), "escapes-root")
+    return F.struct(F.when(error.isNull(), F.array_join(parts, "/")).alias("path"), error.alias("error"))
+
+
 def parse_test_id(raw: Column) -> Column:
-    """struct<framework, path, filter, error> of ``framework:path[::filter]``."""
+    """struct<framework, path, filter, error> of ``framework:path[::filter]``; a filter may be empty."""
     at = F.instr(raw, F.lit(":"))
     framework, rest = F.substr(raw, F.lit(1), at - 1), F.substr(raw, at + 1, F.length(raw))
     cut = F.instr(rest, F.lit("::"))
     path = F.when(cut > 0, F.substr(rest, F.lit(1), cut - 1)).otherwise(rest)
     name = F.when(cut > 0, F.substr(rest, cut + 2, F.length(rest)))
-    error = F.when((at <= 1) | framework.rlike(r"[/\\. ]"), "malformed").when(~framework.isin(FRAMEWORKS), "unknown-framework").when(path == "", "malformed").when(name == "", "malformed")
-    return F.struct(*[F.when(error.isNull(), c).alias(n) for c, n in ((framework, "framework"), (path, "path"), (name, "filter"))], error.alias("error"))
+    whole = project_path(path)
+    error = F.when((at <= 1) | framework.rlike(r"[/\\. ]"), "malformed").when(~framework.isin(FRAMEWORKS), "unknown-framework").when(path == "", "malformed").when(whole["error"].isNotNull(), "path-invalid")
+    return F.struct(*[F.when(error.isNull(), c).alias(n) for c, n in ((framework, "framework"), (whole["path"], "path"), (name, "filter"))], error.alias("error"))
+
+
+def format_test_id(framework: Column, path: Column, name: Column) -> Column:
+    return F.concat(framework, F.lit(":"), path, F.when(name.isNull(), "").otherwise(F.concat(F.lit("::"), name)))
+
+
+def framework_class(path: Column, framework: Column, rules: list[tuple[list[str], str]]) -> Column:
+    """The class of the first rule (globs, class) that holds a test's path, else e2e for playwright and unit for others; no framework: null."""
+    own = F.lit(None).cast("string")
+    for globs, name in reversed(rules):
+        own = F.when(matches_any(path, globs), name).otherwise(own)
+    return F.when(framework.isNotNull(), F.coalesce(own, F.when(framework == "playwright", "e2e").otherwise("unit")))
 
 
 def join_rest_route(namespace: Column, route: Column) -> Column:
@@ -95,30 +129,30 @@ def join_rest_route(namespace: Column, route: Column) -> Column:
 
 def rebase_rest_route(route: Column, old: Column, new: Column) -> Column:
     """The route with its prefix ``/old`` replaced, or null where it has none."""
-    base = F.concat(F.lit("/"), old)
-    exact, below = route == base, F.startswith(route, F.concat(base, F.lit("/")))
-    return F.when(exact, F.concat(F.lit("/"), new)).when(below, F.concat(F.lit("/"), new, F.substr(route, F.length(base) + 1, F.length(route))))
+    bare = lambda c: F.concat(F.lit("/"), F.regexp_replace(c, "^/+|/+$", ""))
+    base = bare(old)
+    met = (route == base) | F.startswith(route, F.concat(base, F.lit("/")))
+    return F.when(met, F.concat(bare(new), F.substr(route, F.length(base) + 1, F.length(route))))
 
 
 def rest_url_normalise(url: Column) -> Column:
-    after = F.regexp_extract(url, r"wp-json(/.*)$", 1)
-    cut = F.regexp_replace(after, r"[?#].*$", "")
-    own = F.regexp_replace(url, r"[?#].*$", "")
-    return F.when(url.rlike(r"wp-json/"), null_if(cut, cut.isin("", "/"))).when(own.rlike(r"^/[A-Za-z0-9_-]+/v[0-9]+(?:/|$)"), own)
+    """What follows ``wp-json`` (a word of its own) up to query and fragment, or a path that begins with a versioned namespace; else null."""
+    return F.when(url.rlike(r"\bwp-json/"), F.regexp_extract(url, r"\bwp-json(/[^?#]*)", 1)).when(url.rlike(r"^/[A-Za-z0-9_-]+/v[0-9]+(?:/|\z)"), F.regexp_extract(url, r"^[^?#]*", 0))
 
 
 def norm_rest_path(url: Column) -> Column:
-    """Without scheme, host, query, fragment and ``/wp-json``; one leading slash, none at the end."""
-    c = F.regexp_replace(url, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*", "")
-    c = F.regexp_replace(F.regexp_replace(c, r"[?#].*$", ""), r"^.*/wp-json(?=/|$)", "")
+    """Without scheme, host, what stands before the first ``/wp-json``, query and fragment; one leading slash, none at the end."""
+    c = F.regexp_replace(F.regexp_replace(url, r"(?U)^\s+|\s+$", ""), r"^[a-z]+://[^/]+", "")
+    c = F.regexp_extract(F.regexp_replace(c, r"(?s)^.*?/wp-json", ""), r"^[^?#]*", 0)
     c = F.regexp_replace(F.concat(F.lit("/"), c), "/+", "/")
     return F.when(F.length(c) > 1, F.regexp_replace(c, "/$", "")).otherwise(c)
 
 
 def acceptable_rest_path(path: Column) -> Column:
-    wild = (F.length(path) - F.length(F.replace(path, F.lit("{*}"), F.lit("")))) / 3
-    first = F.get(F.split(path, "/", -1), F.lit(1))
-    return ~path.startswith("/@") & ((wild == 0) | ((wild == 1) & (first != "{*}")))
+    """No scoped package, and literal or with one wildcard that is not the first segment."""
+    bare = F.regexp_replace(path, "^/+", "")
+    wild = F.regexp_count(path, F.lit(r"\{\*\}"))
+    return ~bare.startswith("@") & ((wild == 0) | ((wild == 1) & (F.substring_index(bare, "/", 1) != "{*}")))
 
 
 def ajax_action(url: Column) -> Column:
@@ -126,32 +160,49 @@ def ajax_action(url: Column) -> Column:
 
 
 def admin_page_slug(url: Column) -> Column:
-    return F.when(F.contains(url, F.lit("admin.php")), regexp_or_null(url, r"[?&]page=([A-Za-z0-9_.-]+)"))
+    """The page of an ``admin.php`` URL, or null."""
+    return F.when(F.contains(url, F.lit("admin.php")), regexp_or_null(url, r"[?&]page=([A-Za-z0-9_-]+)"))
+
+
+def admin_page_or_slug(value: Column) -> Column:
+    """The slug of ``admin.php?page=...``, or the name of a core page; else null."""
+    bare = F.regexp_replace(value, r"^\.?/?wp-admin/", "")
+    head = F.substring_index(bare, "?", 1)
+    return F.when(bare.startswith("admin.php"), regexp_or_null(bare, r"[?&]page=([A-Za-z0-9_-]+)")).when(head.isin(CORE_ADMIN_PAGES), head)
+
+
+def frontend_or_admin_url(url: Column) -> Column:
+    """The anchor key of a URL of the front end or of an administration page, or null."""
+    path = F.regexp_extract(F.regexp_replace(url, "^https?://[^/]+", ""), "^[^?#]*", 0)
+    page = F.regexp_extract(path, "^/wp-admin/([^/]+)$", 1)
+    home = F.when(url == "", None).when(path == "/", "wp-frontend:home").when(path == "/wp-login.php", "wp-frontend:login")
+    return F.coalesce(home, F.when((url != "") & path.isin("/wp-admin", "/wp-admin/"), "wp-admin-page:index.php"), F.when(page.isin(URL_ADMIN_PAGES), F.concat(F.lit("wp-admin-page:"), page)))
 
 
 def skeleton_tail(src: Column) -> Column:
     """The literal tail of a source path that starts with a wildcard, or null."""
-    c = F.regexp_replace(src, r"^\{\*\}/?", "")
-    c = F.regexp_replace(F.regexp_replace(c, r"\{\*\}\.js$", ".js"), "^/+", "")
-    return F.when(~F.contains(c, F.lit("{*}")) & c.rlike(r"\.(?:js|jsx|ts|tsx|mjs|cjs)$"), c)
+    c = F.regexp_replace(F.regexp_replace(src, r"^\{\*\}/?", ""), r"(?i)\{\*\}(\.m?js)$", "$1")
+    return F.when(~F.contains(c, F.lit("{*}")) & c.rlike(r"(?i)\.(?:mjs|cjs|jsx|tsx|ts|js)$"), F.regexp_replace(c, "^/+", ""))
 
 
-def looks_compiled(path: Column) -> Column:
-    return path.rlike(r"\.min\.js$|(?:^|/)(?:build|dist)/")
+def looks_compiled(path: Column, folders: tuple[str, ...] = OUTPUT_FOLDERS) -> Column:
+    return path.endswith(".min.js") | F.arrays_overlap(F.split(path, "/", -1), F.array(*map(F.lit, folders)))
 
 
 def normalise_path(path: Column) -> Column:
-    """Without ``.`` and with ``..`` taken away; null where it leaves the root."""
-    step = lambda a, p: F.when(a.isNull(), a).when(p.isin("", "."), a).when(p == "..", F.when(F.size(a) > 0, F.slice(a, F.lit(1), F.size(a) - 1))).otherwise(F.concat(a, F.array(p)))
-    parts = F.aggregate(F.split(path, "/", -1), F.array().cast("array<string>"), step)
-    return F.array_join(parts, "/")
+    """Without empty parts and ``.``, with ``..`` taken away; what would leave the root is dropped."""
+    return F.array_join(_steps(path, False), "/")
 
 
 def split_methods(raw: Column) -> Column:
-    """array<string> of the methods that a comma-joined list or a constant stands for."""
-    name = F.upper(F.trim(F.regexp_replace(raw, r"^.*::", "")))
-    known = F.try_element_at(F.create_map(*[F.lit(x) for kv in METHOD_CONSTANTS.items() for x in kv]), name)
-    return F.filter(F.split(F.coalesce(known, F.upper(F.trim(raw))), r"\s*,\s*"), lambda m: m != "")
+    """array<string> of a comma-joined list of methods."""
+    return F.filter(F.split(F.upper(F.trim(raw)), r"\s*,\s*", -1), lambda m: m != "")
+
+
+def rest_server_methods(name: Column) -> Column:
+    """array<string> of the methods that a constant of the REST server stands for; of others none."""
+    known = F.create_map(*[F.lit(x) for kv in METHOD_CONSTANTS.items() for x in kv])
+    return F.coalesce(split_methods(F.try_element_at(known, F.upper(name))), F.array().cast("array<string>"))
 
 
 def derive_ajax(hook: Column) -> Column:
@@ -159,11 +210,11 @@ def derive_ajax(hook: Column) -> Column:
 
 
 def is_node_builtin(specifier: Column) -> Column:
-    return specifier.startswith("node:") | F.substring_index(specifier, "/", 1).isin(NODE_MODULES)
+    return specifier.startswith("node:") | specifier.isin(NODE_MODULES)
 
 
 def is_asset(specifier: Column) -> Column:
-    return F.regexp_replace(specifier, r"[?#].*$", "").rlike(ASSETS)
+    return F.regexp_replace(specifier, r"(?s)[?#].*$", "").rlike(r"(?i)\.(?:" + "|".join(ASSETS) + r")\z")
 
 
 def is_test_base_class(name: Column) -> Column:
@@ -189,37 +240,51 @@ def context_lines(text: Column, start: Column, end: Column, margin: int = 8) ->
 
 def citation_holds(text: Column, line: Column, token: Column, margin: int = 2) -> Column:
     lines = F.split(text, "\n", -1)
-    inside = (line >= 1) & (line <= F.size(lines)) & (token != "")
+    inside = (line >= 1) & (line <= F.size(lines))
     first = F.greatest(line - margin, F.lit(1))
     near = F.slice(lines, first, F.greatest(F.least(line + margin, F.size(lines)) - first + 1, F.lit(0)))
     return inside & F.exists(near, lambda x: F.contains(x, token))
 
 
-def collapse_route_params(route: str | None) -> str | None:
-    """Every balanced ``(?P<name>...)`` or ``(?<name>...)`` of a route becomes ``{*}``."""
-    import re
-
-    if route is None:
-        return None
-    out, i = "", 0
-    while i < len(route):
-        m = re.compile(r"\(\?P?<[A-Za-z_]\w*>").match(route, i)
-        if not m:
-            out, i = out + route[i], i + 1
-            continue
-        depth, j, inside = 1, m.end(), False
-        while j < len(route) and depth:
-            c = route[j]
-            if c == "\\":
-                j += 1
-            elif inside:
-                inside = c != "]"
-            elif c == "[":
-                inside = True
-            elif c in "()":
-                depth += 1 if c == "(" else -1
-            j += 1
-        if depth:
-            return out + route[i:]
-        out, i = out + "{*}", j
-    return out
+def collapse_route_params(route: Column) -> Column:
+    """Every ``(?P<name>...)`` or ``(?<name>...)`` of a route becomes ``{*}``; one that is never closed takes the rest."""
+    kind = "struct<out:string,depth:int,inside:boolean>"
+    chars = F.transform(F.split(route, ""), lambda c, i: F.struct(c.alias("c"), F.substr(route, i + 1, F.lit(4)).alias("next")))
+
+    def step(a: Column, x: Column) -> Column:
+        c, opens = x["c"], x["next"].startswith("(?P<") | x["next"].startswith("(?<")
+        depth = a["depth"] + F.when(a["inside"], 0).when(c == "(", 1).when(c == ")", -1).otherwise(0)
+        within = F.struct(a["out"].alias("out"), depth.alias("depth"), F.when(a["inside"], c != "]").otherwise(c == "[").alias("inside"))
+        begun = F.struct(F.concat(a["out"], F.lit("{*}")).alias("out"), F.lit(1).alias("depth"), F.lit(False).alias("inside"))
+        plain = F.struct(F.concat(a["out"], c).alias("out"), F.lit(0).alias("depth"), F.lit(False).alias("inside"))
+        return F.when(a["depth"] > 0, within).when(opens, begun).otherwise(plain).cast(kind)
+
+    empty = F.struct(F.lit("").alias("out"), F.lit(0).alias("depth"), F.lit(False).alias("inside")).cast(kind)
+    return F.when(F.length(route) == 0, "").otherwise(F.aggregate(chars, empty, step, lambda a: a["out"]))
+
+
+def render_template(template: str, fields: Column) -> Column:
+    """A template whose ``{a.b}`` are taken from a JSON text; null where one is missing, null or no plain value.  ``{*}`` stays."""
+    parts = []
+    for literal, name in re.findall(r"((?:[^{]|\{\*\}|\{(?![^}]+\}))*)(?:\{([^}]+)\}|$)", template):
+        parts.append(F.lit(literal))
+        if name:
+            value = F.get_json_object(fields, "$" + "".join(f"['{p}']" for p in name.split(".")))
+            parts.append(F.when(~value.rlike(r"(?s)^\s*[\[{]"), value))
+    return F.concat(*parts)
+
+
+def contains_wildcard(fields: Column) -> Column:
+    """Whether any string of a JSON text holds a wildcard."""
+    return F.coalesce(F.contains(fields, F.lit("{*}")), F.lit(False))
+
+
+def literal_rest_method(fields: Column) -> Column:
+    """The method that ``config`` or ``init`` of a JSON text names, in capitals, or null."""
+    named = [F.get_json_object(fields, f"$.{f}.method") for f in ("config", "init")]
+    return F.upper(F.coalesce(*[F.when(m != "", m) for m in named]))
+
+
+def expand_skeleton(parts: Column) -> Column:
+    """array<string> of all strings that one value of each of the parts, array<array<string>>, makes in order."""
+    return F.aggregate(parts, F.array(F.lit("")), lambda a, p: F.flatten(F.transform(a, lambda x: F.transform(p, lambda y: F.concat(x, y)))))

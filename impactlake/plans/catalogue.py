@@ -49,7 +49,7 @@ PRICED = f"select *, {EDGE_KIND} k, least(1, greatest(0, ({BASE_SQL})::double *
 def evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each distinct call of a test to a part, priced at the call's line as its depth."""
     kind = F.create_map(*[F.lit(x) for x in ("A", "symbol-use", "N", "hook-fire", "R", "rest-call-js")])[F.col("l_returnflag")]
-    rows = G.calls(spark, sf_dir).withColumn("kind", P.bridge_kind(kind, F.col("l_linestatus") == "F", F.lit(None).cast("string"), []))
+    rows = G.calls(spark, sf_dir).withColumn("kind", P.bridge_kind(kind, F.col("l_linestatus") == "F", F.lit("called"), []))
     return rows.withColumn("c", P.evidence_confidence(F.col("kind"), F.lit("exact"), F.col("l_linenumber"), F.lit(True)))
 
 

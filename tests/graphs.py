@@ -152,7 +152,7 @@ def walk(g, test, stop=(), max_depth=100):
         if f["kind"] == "symbol-use" and any(k.startswith(f"js-symbol:{m}:") for m in mocked for k, _ in links.get(f["fact_id"], [])):
             continue
         names = {"symbol-use": ("symbol-call", "symbol-call-uncertain"), "hook-fire": ("hook-mediated", "hook-mediated-uncertain"), "rest-call-js": ("rest-mediated", "rest-mediated-partial"), "ajax-call-js": ("ajax-mediated", "ajax-mediated-partial")}
-        if f["kind"] not in names or (f["kind"] == "hook-fire" and f["hook"] is not None and (f["hook"] in stop or not re.search("[A-Za-z0-9]", f["hook"].replace("{*}", "")))):
+        if f["kind"] not in names or (f["kind"] == "hook-fire" and (f["hook"] is None or f["hook"] in stop or not re.search("[A-Za-z0-9]", f["hook"].replace("{*}", "")))):
             continue
         start = names[f["kind"]][0 if f["resolved"] else 1]
         for key, role in links.get(f["fact_id"], []):
@@ -206,7 +206,7 @@ def random_graph(r, base):
                 f |= {"callable": kind == "symbol-def" and r.random() < 0.7, "name": r.choice(["A::setUp", "A::run"])}
                 g["links"].append((next_id, f"js-symbol:{r.choice(paths)}:s{r.randint(0, 2)}", role))
             elif kind.startswith("hook"):
-                f["hook"] = r.choice(["a", "b", "{*}"])
+                f["hook"] = r.choice(["a", "b", "{*}", None])
                 g["links"].append((next_id, f"hook:g{base}_{r.choice(['a', 'b', 'a_{*}', 'a_x', '{*}'])}", role))
             elif kind.startswith("rest"):
                 g["links"].append((next_id, f"rest:GET /g{base}/{r.choice(['x', 'y', '{*}', 'x/{*}', 'x/1', '{*}/1'])}", role))
