@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import partitions, read_table, release, shared_dir, stage
+from .common import drop_table, dropped, partitions, read_table, shared_dir, stage, tidy_shuffles
 
 START, END = "<|im_start|>", "<|im_end|>"
 LEARNT_ROLE = "assistant"
@@ -82,7 +82,7 @@ def choose_paths(nodes: DataFrame, branches: int = 1) -> DataFrame:
         columns = ["conv", "node", "up", "depth", "total"]
         settled.append(stage(whole.join(unsettled, "conv", "left_anti").select(*columns), "settled"))
         state = stage(whole.join(unsettled, "conv", "left_semi").select(*columns), "tree")
-        release(state.sparkSession)
+        dropped(moved, unsettled)
     for part in settled:
         state = state.unionByName(part)
     ends = state.filter("up is null").join(leaves, ["conv", "node"], "left_semi")
@@ -93,20 +93,18 @@ def choose_paths(nodes: DataFrame, branches: int = 1) -> DataFrame:
         up = path.join(level, ["conv", "node"]).select("conv", "branch", F.col("up").alias("node"), (F.col("depth") - (1 << k)).alias("depth"))
         # written, or the plan would double with each level
         path = path.union(stage(up, "path"))
-        release(path.sparkSession)
     return path
 
 
-def _dealt(nodes: DataFrame) -> DataFrame:
-    """nodes with the column KEY, written in buckets by it; each of the passes shuffles its share of the texts."""
+def _dealt(nodes: DataFrame) -> str:
+    """A table of nodes with the column KEY, written in buckets by it; each of the passes shuffles its share of the texts."""
     spark = nodes.sparkSession
     path = shared_dir(spark, "nodes")
     name = "nodes_" + path[-32:]
     for k in range(PASSES):
         part = nodes.filter(F.pmod(F.xxhash64(KEY), F.lit(PASSES)) == k).repartition(partitions(spark), KEY)
         part.write.mode("append").bucketBy(partitions(spark), KEY).option("path", path).option("compression", "zstd").format("parquet").saveAsTable(name)
-        release(spark)
-    return spark.table(name)
+    return name
 
 
 def format_trees(nodes: DataFrame, branches: int = 1) -> DataFrame:
@@ -117,15 +115,19 @@ def format_trees(nodes: DataFrame, branches: int = 1) -> DataFrame:
     points of the escaped assistant texts in ``formatted``.  No nodes: no rows.
     """
     spark = nodes.sparkSession
-    keyed = _dealt(_keyed(nodes).select(KEY, "conv_id", "node", "parent", "role", "text", "score")).withColumnRenamed(KEY, "conv")
-    path = choose_paths(keyed.select("conv", "node", "parent", "score"), branches)
     before = spark.conf.get(CO_PARTITION)
-    try:
-        # texts are dealt by conversation already, and only the paths move
-        spark.conf.set(CO_PARTITION, "false")
-        return stage(_formatted(keyed, path), "chat")
-    finally:
-        spark.conf.set(CO_PARTITION, before)
+    with tidy_shuffles(spark):
+        table = _dealt(_keyed(nodes).select(KEY, "conv_id", "node", "parent", "role", "text", "score"))
+        keyed = spark.table(table).withColumnRenamed(KEY, "conv")
+        path = choose_paths(keyed.select("conv", "node", "parent", "score"), branches)
+        try:
+            # texts are dealt by conversation already, and only the paths move
+            spark.conf.set(CO_PARTITION, "false")
+            made = stage(_formatted(keyed, path), "chat")
+        finally:
+            spark.conf.set(CO_PARTITION, before)
+        drop_table(spark, table)
+    return made
 
 
 def _formatted(keyed: DataFrame, path: DataFrame) -> DataFrame:

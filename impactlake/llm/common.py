@@ -1,15 +1,17 @@
-"""Session helpers that the operators share: tables, shared folders, lineage cuts."""
+"""Session helpers that the operators share."""
 
 from __future__ import annotations
 
-import gc
-import tempfile
-import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
-CHECKPOINT_KEY = "spark.checkpoint.dir"
-_own_dir: list[str] = []
+from ..operators.stages import dropped, shared_dir, stage
+
+__all__ = ["drop_table", "dropped", "partitions", "read_table", "shared_dir", "stage", "tidy_shuffles"]
+#: Spark's setting under which the shuffle files of a query are deleted when it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,41 +19,27 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession, label: str) -> str:
-    """A new path in the folder all executors share.
-
-    The folder is what the cluster names in ``spark.checkpoint.dir``.  Only where
-    that is unset (tests, single-node runs) a local folder is made for this process.
-    """
-    base = spark.conf.get(CHECKPOINT_KEY, None) or spark.sparkContext.getConf().get(CHECKPOINT_KEY)
-    if not base:
-        if not _own_dir:
-            _own_dir.append("file://" + tempfile.mkdtemp(prefix="impactlake-"))
-        base = _own_dir[0]
-    return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
-
-
-def stage(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back.
-
-    This cuts the lineage: what has been computed is not computed again, and a lost
-    executor costs only what it was computing.  Columns, order of columns and types
-    are those of ``df``; an empty frame stays an empty frame.
-    """
-    spark = df.sparkSession
-    path = shared_dir(spark, label)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def release(spark: SparkSession) -> None:
-    """Ask the JVM to collect garbage, so that Spark drops shuffle files no plan refers to.
+@contextmanager
+def tidy_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Within this, the shuffle files of each finished query go at once, not when the driver collects garbage.
 
-    Spark keeps the shuffle files of finished jobs until the driver's collector finds
-    that nothing refers to them, which at low memory pressure may be never.
+    It holds for frames made within; a frame that runs twice computes its shuffles twice.
     """
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+
+
+def drop_table(spark: SparkSession, name: str) -> None:
+    """Drop a table of ours together with its files."""
+    location = spark.sql(f"describe formatted {name}").filter("col_name = 'Location'").first()
+    spark.sql(f"drop table if exists {name}")
+    if location is not None:
+        where = spark._jvm.org.apache.hadoop.fs.Path(location["data_type"])
+        where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
 
 
 def partitions(spark: SparkSession) -> int:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import dropped, stage
 
 
 def connected_components(links: DataFrame) -> DataFrame:
@@ -18,13 +18,16 @@ def connected_components(links: DataFrame) -> DataFrame:
     """
     both = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
     both = stage(both, "cc-links")
-    labels = stage(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.col("a")).alias("component")), "cc-0")
+    held = labels = stage(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.col("a")).alias("component")), "cc-0")
     while True:
         near = both.join(labels, both.b == labels.id).groupBy(F.col("a").alias("id")).agg(F.min("component").alias("low"))
         hooked = labels.join(near, "id", "left").select("id", F.col("component").alias("was"), F.least("component", "low").alias("c"))
         up = labels.select(F.col("id").alias("c"), F.col("component").alias("top"))
         new = hooked.join(up, "c", "left").select("id", "was", F.least("c", F.coalesce("top", "c")).alias("component"))
         new = stage(new, "cc-round")
-        labels = new.select("id", "component")
-        if new.filter("was <> component").limit(1).count() == 0:
+        done = new.filter("was <> component").limit(1).count() == 0
+        dropped(held)
+        held, labels = new, new.select("id", "component")
+        if done:
+            dropped(both)
             return labels

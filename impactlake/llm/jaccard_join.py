@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import partitions, read_table, release, shared_dir, stage
+from .common import drop_table, dropped, partitions, read_table, shared_dir, stage, tidy_shuffles
 from .components import connected_components
 from .textvec import U64, mix, runs, slices, window_hashes, word_hashes, word_spans
 
@@ -39,9 +39,11 @@ WORDS = 5
 PERCENT = 80
 #: A list of at most so many sets gives its pairs; elements in more sets are "frequent".
 LIST_LIMIT = 16
-#: So many frequent elements at most are sent to the executors (16 bytes each).  With
-#: more of them the limit on lists is doubled until they fit; results do not change.
+#: So many frequent elements at most are sent to the executors (16 bytes each), those in
+#: most sets.  Others stand among the rare ones; their lists are met by length.
 FREQUENT_BOUND = 2_000_000
+#: A list of more sets than this is compared by pivots, whatever is known of its element.
+LONG_LIST = 4 * LIST_LIMIT
 #: Elements that one task sorts at a time.
 RANGE_ROWS = 3_000_000
 #: Elements that a task combines or deals out at a time.
@@ -194,7 +196,9 @@ def _entries(frequent, ranges: int, percent: int, floor: int):
         order = np.argsort(where, kind="stable")
         token, doc, n, where = token[order], doc[order], n[order], where[order]
         cut = np.searchsorted(where, np.arange(-1, ranges + 1))
-        rows = [(r - 1, token[a:b].tobytes(), doc[a:b].tobytes(), n[a:b].tobytes()) for r, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if b > a]
+        # within a range 32 bits tell candidates apart well enough: pairs are compared by whole elements
+        short = (token // U64(ranges)).astype(np.uint32)
+        rows = [(r - 1, (short if r else token)[a:b].tobytes(), doc[a:b].tobytes(), n[a:b].tobytes()) for r, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if b > a]
         if rows:
             a, b, c, d = zip(*rows, strict=True)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int32()), *(pa.array(x, pa.binary()) for x in (b, c, d))], names=["rng", "tokens", "docs", "sizes"])
@@ -229,15 +233,26 @@ def _entries(frequent, ranges: int, percent: int, floor: int):
     return run
 
 
-def _list_pairs(percent: int, boundary: int):
-    """Distinct pairs of the lists of one range that sizes allow; each list is bounded."""
+def _list_pairs(percent: int, boundary: int, ranges: int):
+    """Distinct pairs of the lists of one range that sizes allow, as (x, y, null).
+
+    Entries of lists beyond ``LONG_LIST`` (elements that are frequent, but not among those
+    sent to the executors) come out as (x, null, list) instead.
+    """
 
     def run(table: pa.Table) -> pa.Table:
-        token = np.concatenate([np.frombuffer(x, U64) for x in table["tokens"].to_pylist()])
+        token = np.concatenate([np.frombuffer(x, np.uint32) for x in table["tokens"].to_pylist()])
         doc = np.concatenate([np.frombuffer(x, np.int64) for x in table["docs"].to_pylist()])
         n = np.concatenate([np.frombuffer(x, np.int32) for x in table["sizes"].to_pylist()])
         order = np.lexsort((doc, n >> 1, token))
         token, doc, n = token[order], doc[order], n[order]
+        first = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]])) if len(token) else np.zeros(0, np.int64)
+        many = np.diff(np.append(first, len(token)))
+        long = np.repeat(many > LONG_LIST, many)
+        # below the keys of whole elements, which are not negative
+        far = -1 - (token[long].astype(np.int64) * ranges + table["rng"][0].as_py())
+        held = doc[long]
+        token, doc, n = token[~long], doc[~long], n[~long]
         small, large, d = [], [], 1
         while d < len(token):
             same = np.flatnonzero(token[d:] == token[:-d])
@@ -255,7 +270,8 @@ def _list_pairs(percent: int, boundary: int):
         if len(x):
             new = np.concatenate([[True], (x[1:] != x[:-1]) | (y[1:] != y[:-1])])
             x, y = x[new], y[new]
-        return pa.table({"x": x, "y": y})
+        none = pa.nulls(len(held), pa.int64()), pa.nulls(len(x), pa.int64())
+        return pa.table({"x": np.concatenate([x, held]), "y": pa.concat_arrays([pa.array(y, pa.int64()), none[0]]), "list": pa.concat_arrays([none[1], pa.array(far, pa.int64())])})
 
     return run
 
@@ -391,9 +407,13 @@ def frequent_links(entries: DataFrame, sets: DataFrame, links: DataFrame, percen
     found = stage(found.distinct(), "found")
     placed = first.join(component.select(F.col("id").alias("x"), "component"), "x", "left").select("token", "x", "d", F.coalesce("component", "x").alias("c"))
     placed = stage(placed, "placed")
+    dropped(first, compared, tries, known)
     centre = placed.groupBy("token").agg(F.min_by("c", "d").alias("centre"), F.min("c").alias("c0"), F.max("c").alias("c1")).filter("c0 <> c1").select("token", "centre")
     members = stage(placed.join(centre, "token").select("centre", "x", "c").distinct(), "members")
-    return found.union(block_links(members, sets, percent))
+    dropped(placed)
+    every = stage(found.union(block_links(members, sets, percent)), "all-links")
+    dropped(found, members, sets, near)
+    return every
 
 
 def block_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -453,14 +473,17 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     sizes and are one node for links.  A row with a null id keeps its row; its component
     is that of the same set with an id, or null.  Empty input: no rows.
     """
-    spark = docs.sparkSession
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    with tidy_shuffles(docs.sparkSession):
+        return _components(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")), words, percent)
+
+
+def _components(texts: DataFrame, words: int, percent: int) -> DataFrame:
+    spark = texts.sparkSession
     signed = stage(texts.mapInArrow(_signatures(words), "doc_id long, n long, s1 long, s2 long"), "signatures")
     classes = signed.filter("n > 0").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep"))
     classes = stage(classes, "classes")
     total, count = classes.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    sets = _stored_sets(texts, classes, words)
-    release(spark)
+    sets, table = _stored_sets(texts, classes, words)
     ranges = max(12, int(total // RANGE_ROWS) + 1)
 
     sizes = {r.n: r["count"] for r in classes.filter(F.col("n") <= 2 * LIGHT_MOST).groupBy("n").count().collect()}
@@ -471,30 +494,34 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     floor = -(-percent * (boundary + 1) // 100)
     entries = sets.filter(F.col("n") >= floor).select("doc_id", "n", "elements").mapInArrow(_entries(frequent, ranges, percent, floor), "rng int, tokens binary, docs binary, sizes binary")
     entries = stage(entries, "entries")
-    release(spark)
-    pairs = entries.filter("rng >= 0").groupBy("rng").applyInArrow(_list_pairs(percent, boundary), "x long, y long").distinct()
-    pairs = stage(pairs, "pairs")
-    release(spark)
+    met = stage(entries.filter("rng >= 0").groupBy("rng").applyInArrow(_list_pairs(percent, boundary, ranges), "x long, y long, list long"), "met")
+    hot = entries.filter("rng < 0").select("tokens", "docs").mapInArrow(_rows, "token long, x long")
+    hot = stage(hot.union(met.filter("y is null").select(F.col("list").alias("token"), "x")), "hot")
+    dropped(entries)
+    pairs = stage(met.filter("y is not null").select("x", "y").distinct(), "pairs")
+    dropped(met)
     near = overlaps(pairs, sets).filter(f"100 * both >= {percent} * either").select(F.col("x").alias("a"), F.col("y").alias("b"))
     links = stage(links.union(near), "links")
-    release(spark)
-    hot = entries.filter("rng < 0").select("tokens", "docs").mapInArrow(_rows, "token long, x long")
-    links = frequent_links(stage(hot, "hot"), sets, links, percent)
-    component = connected_components(links)
+    dropped(pairs)
+    every = frequent_links(hot, sets, links, percent)
+    component = connected_components(every)
     places = classes.join(component, classes.rep == component.id, "left").select("n", "s1", "s2", F.coalesce("component", "rep").alias("place"))
+    places = stage(places, "places")
+    drop_table(spark, table)
+    dropped(hot, links, every, classes, component)
     out = signed.join(places, ["n", "s1", "s2"], "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("place", "doc_id").alias("component_id"))
 
 
-def _stored_sets(texts: DataFrame, classes: DataFrame, words: int) -> DataFrame:
-    """The representatives' sets, written in buckets by id: later joins on the id do not move them."""
+def _stored_sets(texts: DataFrame, classes: DataFrame, words: int) -> tuple[DataFrame, str]:
+    """The representatives' sets, written in buckets by id (later joins on the id do not move them), and their table's name."""
     spark = texts.sparkSession
     kept = texts.join(classes.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").select("doc_id", "text")
     rows = kept.mapInArrow(_sets(words), "doc_id long, n long, elements binary")
     path = shared_dir(spark, "sets")
     name = "sets_" + path[-32:]
     rows.write.bucketBy(partitions(spark), "doc_id").sortBy("doc_id").option("path", path).format("parquet").saveAsTable(name)
-    return spark.table(name)
+    return spark.table(name), name
 
 
 def _frequent_elements(sets: DataFrame, ranges: int):
@@ -502,10 +529,16 @@ def _frequent_elements(sets: DataFrame, ranges: int):
     spark = sets.sparkSession
     counts = sets.select("elements").mapInArrow(_counted(ranges), "rng int, once binary, more binary, times binary")
     found = stage(counts.groupBy("rng").applyInArrow(_frequent(LIST_LIMIT, ranges), "element long, df long"), "frequent")
-    limit = LIST_LIMIT
-    while found.filter(F.col("df") >= limit).count() > FREQUENT_BOUND:
-        limit *= 2
-    got = found.filter(F.col("df") >= limit).toPandas()
+    # the cut from sums by eighths of powers of two, so that no more than the bound reaches the driver
+    grade = F.floor(F.log2("df") * 8).cast("int")
+    cut, held = None, 0
+    for row in sorted(found.groupBy(grade.alias("grade")).count().collect(), reverse=True):
+        held += row["count"]
+        if held > FREQUENT_BOUND:
+            break
+        cut = row["grade"]
+    got = found.filter(grade >= (1 << 30 if cut is None else cut)).toPandas()
+    dropped(found)
     keys = got["element"].to_numpy(np.int64)
     order = np.argsort(keys)
     df = got["df"].to_numpy(np.int64)

@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import partitions, read_table, release, shared_dir, stage
+from .common import dropped, partitions, read_table, shared_dir, stage, tidy_shuffles
 from .textvec import runs, utf8_arrays, word_spans
 
 TOKENIZER = "word_bpe_49k.json"
@@ -305,8 +305,12 @@ def write_token_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = EN
     the same id stand together, in the order of their ids' bytes.  An empty table gives an
     empty dictionary and no blocks.  Columns other than the two named are not read.
     """
-    spark = docs.sparkSession
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    with tidy_shuffles(docs.sparkSession):
+        _write(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")), path, tokenizer, end_id)
+
+
+def _write(texts: DataFrame, path: str, tokenizer: str, end_id: int) -> None:
+    spark = texts.sparkSession
     tokens = stage(texts.mapInArrow(_tokenized(tokenizer, end_id), "doc_id long, ids binary"), "tokens")
     width = encoder(tokenizer).width.str
     counts = tokens.select("ids").mapInArrow(_frequencies(width), "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
@@ -317,7 +321,7 @@ def write_token_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = EN
     spark.createDataFrame([(bytearray(ranked.astype("<u4").tobytes()),)], "ids binary").coalesce(1).write.parquet(f"{path}/dictionary")
     ordered = tokens.repartitionByRange(partitions(spark), "doc_id").sortWithinPartitions("doc_id", "ids")
     ordered.mapInArrow(_blocks(spark.sparkContext.broadcast(rank_of), width), BLOCKS).write.option("compression", "zstd").parquet(f"{path}/blocks")
-    release(spark)
+    dropped(tokens)
 
 
 def _decoded(dictionary):
