@@ -269,8 +269,10 @@ def render_template(template: str, fields: Column) -> Column:
     for literal, name in re.findall(r"((?:[^{]|\{\*\}|\{(?![^}]+\}))*)(?:\{([^}]+)\}|$)", template):
         parts.append(F.lit(literal))
         if name:
-            value = F.get_json_object(fields, "$" + "".join(f"['{p}']" for p in name.split(".")))
-            parts.append(F.when(~value.rlike(r"(?s)^\s*[\[{]"), value))
+            where = "$" + "".join(f"['{p}']" for p in name.split("."))
+            held = F.try_parse_json(fields)
+            plain = F.schema_of_variant(F.try_variant_get(held, where, "variant")).rlike("^(?:STRING|BIGINT|DOUBLE|DECIMAL|BOOLEAN)")
+            parts.append(F.when(plain, F.try_variant_get(held, where, "string")))
     return F.concat(*parts)
 
 

@@ -14,20 +14,8 @@ from ..operators import lookup
 from ..operators.match import partners
 from ..operators.traverse import dependencies, derive
 from ..sources import projection as G
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def keep(f):
-        QUERIES[f.__name__] = f
-        if sql is not None:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return keep
-
+from . import extract_queries, resolver_queries, scalar_queries, store_queries  # noqa: F401  (they register their queries)
+from .registry import ORACLES, QUERIES, query
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return QUERIES
@@ -73,16 +61,8 @@ def tests_from_sources(spark, sf_dir):
     return rows.withColumn("confidence", F.round("confidence", 6))
 
 
-@query(f"select test_id, source, framework, {CLASS}, round(confidence, 6) confidence, partial from ({EDGES}) where regexp_extract(test_id, 'o([0-9]+)$', 1)::bigint % 50 = 0")
-def sources_from_tests(spark, sf_dir):
-    ids = G.tests(spark, sf_dir).filter((F.col("fact_id") - G.TEST_FACTS) % 50 == 0).select("test_id")
-    rows, _ = lookup.sources_from_tests(edge_table(spark, sf_dir), G.tests(spark, sf_dir), ids)
-    return rows.withColumn("confidence", F.round("confidence", 6))
-
-
 @query(f"select test_id, source, framework, {CLASS}, round(confidence, 6) confidence, partial from ({EDGES})")
-def sources_from_all_tests(spark, sf_dir):
-    """As sources_from_tests, asked for every test."""
+def sources_from_tests(spark, sf_dir):
     tests = G.tests(spark, sf_dir)
     rows, _ = lookup.sources_from_tests(edge_table(spark, sf_dir), tests, tests.select("test_id"))
     return rows.withColumn("confidence", F.round("confidence", 6))
@@ -118,12 +98,13 @@ def evidence_first_value(spark, sf_dir):
     return first.withColumn("c", F.round("c", 6))
 
 
-@query("select * from (values " + ", ".join(f"('{k}', {v})" for k, v in P.BASE.items()) + ") t(kind, base)")
+@query("""select * from (values ('symbol-call', 0.9::double), ('symbol-call-uncertain', 0.5), ('php-include', 0.95), ('js-import', 0.95), ('hook-mediated', 0.8), ('hook-mediated-uncertain', 0.4),
+('rest-mediated', 0.85), ('rest-mediated-partial', 0.5), ('rest-mediated-broad-fallback-partial', 0.85), ('rest-mediated-broad-fallback-unresolved-partial', 0.5), ('ajax-mediated', 0.85), ('ajax-mediated-partial', 0.4),
+('enqueue-mediated', 0.7), ('enqueue-mediated-sibling-fallback-partial', 0.7), ('admin-page-mediated', 0.9), ('shortcode-render', 0.85), ('block-render', 0.7), ('store-mediated', 0.8)) t(kind, base)""")
 def price_table(spark, sf_dir):
     return spark.createDataFrame(list(P.BASE.items()), "kind string, base double")
 
 
-ORACLES["price_table"] = "select kind, base::double base from (" + ORACLES["price_table"] + ")"
 
 HOOK = "hook:s_"
 LINKS = f"select p_partkey * 8 + 1 fact_id, '{HOOK}' || (p_partkey % 97) as key, 'target' as role from part union all select p_partkey * 8 + 2, case when p_partkey % 77 = 0 then '{HOOK}' || (p_partkey % 97 // 10) || '{{*}}' else '{HOOK}' || (p_partkey % 97) end, 'subject' from part where p_partkey % 11 = 0 union all select p_partkey * 8 + 3, 'php-symbol:P' || (p_partkey // 2), 'subject' from part where p_partkey % 2 = 0 union all select p_partkey * 8 + 4, 'php-symbol:P' || p_partkey, 'target' from part"
@@ -169,36 +150,6 @@ def detect_framework(spark, sf_dir):
     return G.files(spark, sf_dir).join(G.tests(spark, sf_dir).select("file_id").distinct().union(G.table(spark, sf_dir, "part").select("p_partkey")), "file_id", "left_semi").select("path").distinct().select("path", S.classify_language(p).alias("language"), framework.alias("framework"), S.is_vendor(p).alias("vendor"))
 
 
-@query(f"select {TEST_ID} as test_id, framework, path, 'o' || o_orderkey as \"filter\", null::varchar as \"error\" from ({TESTS}) union all select 'bad/' || c_custkey, null, null, null, 'malformed' from customer union all select 'mocha:x' || c_custkey, null, null, null, 'unknown-framework' from customer")
-def test_id_parse(spark, sf_dir):
-    c = G.table(spark, sf_dir, "customer")
-    raw = G.tests(spark, sf_dir).select("test_id").union(c.select(F.concat(F.lit("bad/"), F.col("c_custkey").cast("string")))).union(c.select(F.concat(F.lit("mocha:x"), F.col("c_custkey").cast("string"))))
-    return raw.select("test_id", S.parse_test_id(F.col("test_id")).alias("p")).select("test_id", "p.*")
-
-
-@query("select page_id, '/' || trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*', ''), '[?#].*$', ''), '/+', '/', 'g'), '/$', ''), '/') as path, nullif(regexp_extract(url, '[?&]([A-Za-z0-9_-]+)=', 1), '') as param from pages")
-def norm_rest_path(spark, sf_dir):
-    u = F.col("url")
-    return G.table(spark, sf_dir, "pages").select("page_id", S.norm_rest_path(u).alias("path"), S.regexp_or_null(u, r"[?&]([A-Za-z0-9_-]+)=").alias("param"))
-
-
-@query("select p_partkey, '/wc/v' || p_size || '/parts/' || p_partkey as joined, '/new/parts/' || p_partkey as rebased, '/wc/v' || p_size || '/parts' as normalised, 'save_' || p_partkey as action, 'page' || p_size as slug, case when p_size % 2 = 0 then 'assets/p' || p_partkey || '.js' end as tail, case p_size % 3 when 0 then 'POST,PUT,PATCH' when 1 then 'GET' else 'GET,POST' end as methods, p_size % 3 = 0 as builtin, p_size % 2 = 0 as asset, p_size % 3 = 1 as base_class, 'src/p' || p_partkey || '.php' as path from part")
-def scalar_functions(spark, sf_dir):
-    p = G.table(spark, sf_dir, "part")
-    k, z = F.col("p_partkey").cast("string"), F.col("p_size")
-    ns = F.concat(F.lit("wc/v"), z.cast("string"), F.lit("/"))
-    route = F.concat(F.lit("//parts/"), k, F.lit("/"))
-    url = F.concat(F.lit("https://x.test/wp-json/wc/v"), z.cast("string"), F.lit("/parts?a=1#b"))
-    methods = F.when(z % 3 == 0, "WP_REST_Server::EDITABLE").when(z % 3 == 1, "readable").otherwise("get , post")
-    return p.select(
-        "p_partkey", S.join_rest_route(ns, route).alias("joined"), S.rebase_rest_route(F.concat(F.lit("/old/parts/"), k), F.lit("old"), F.lit("new")).alias("rebased"), S.rest_url_normalise(url).alias("normalised"),
-        S.derive_ajax(F.concat(F.lit("wp_ajax_nopriv_save_"), k)).alias("action"), S.admin_page_slug(F.concat(F.lit("/wp-admin/admin.php?x=1&page=page"), z.cast("string"))).alias("slug"),
-        S.skeleton_tail(F.when(z % 2 == 0, F.concat(F.lit("{*}/assets/p"), k, F.lit("{*}.js"))).otherwise(F.lit("{*}/a{*}b.js"))).alias("tail"), F.array_join(S.split_methods(methods), ",").alias("methods"),
-        S.is_node_builtin(F.when(z % 3 == 0, "fs/promises").otherwise("./fs")).alias("builtin"), S.is_asset(F.when(z % 2 == 0, "./a.svg?x").otherwise("./a.ts")).alias("asset"),
-        S.is_test_base_class(F.when(z % 3 == 1, "App\\WP_UnitTestCase").otherwise("App\\Testing")).alias("base_class"), S.normalise_path(F.concat(F.lit("./src/x/../p"), k, F.lit(".php"))).alias("path"),
-    )
-
-
 @query("select doc_id, sha1(text) content, sha256('(file)' || chr(10) || 'a=' || lang || chr(10) || 'hook=' || source || chr(10)) expr from documents")
 def hashes(spark, sf_dir):
     fields = F.array(F.struct(F.lit("hook").alias("field"), F.col("source").alias("expression")), F.struct(F.lit("a").alias("field"), F.col("lang").alias("expression")))
@@ -211,13 +162,6 @@ def context_slice(spark, sf_dir):
     return G.table(spark, sf_dir, "documents").select("doc_id", S.context_lines(t, F.lit(12), F.lit(14)).alias("slice"), F.size(F.split(t, "\n", -1)).alias("lines"), S.citation_holds(t, F.lit(3), F.lit("the")).alias("cited"))
 
 
-@query("select event_type as kind, count(*) n, count(distinct user_id) users, max(ts)::varchar as latest from events group by 1")
-def unresolved_counts(spark, sf_dir):
-    return G.table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("kind")).agg(F.count("*").alias("n"), F.countDistinct("user_id").alias("users"), F.date_format(F.max("ts"), "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("latest"))
-
-
-ORACLES["unresolved_counts"] = "select event_type as kind, count(*) n, count(distinct user_id) users, strftime(max(ts), '%Y-%m-%d %H:%M:%S.%f') as latest from events group by 1"
-
 
 @query("select user_id, event_id, event_type from (select *, row_number() over (partition by user_id order by ts desc, event_id desc) rn from events) where rn = 1")
 def upsert_latest(spark, sf_dir):
@@ -231,25 +175,6 @@ def json_payload_fields(spark, sf_dir):
     return G.table(spark, sf_dir, "events").select("event_id", F.get_json_object("props", "$.k").alias("k"))
 
 
-@query("select p_brand, p_type from (select p_brand, min(p_type) p_type, count(distinct p_type) n from part where p_partkey % 40 = 3 group by 1) where n = 1")
-def ambiguity_poison(spark, sf_dir):
-    p = G.table(spark, sf_dir, "part").filter("p_partkey % 40 = 3")
-    return p.groupBy("p_brand").agg(F.min("p_type").alias("p_type"), F.countDistinct("p_type").alias("n")).filter("n = 1").select("p_brand", "p_type")
-
-
-@query("select p_partkey // 2 symbol, min(p_brand) p_brand from part group by 1 having count(distinct p_brand) = 1")
-def ambiguity_poison_all(spark, sf_dir):
-    """As ambiguity_poison, over all of part: the symbols of links (P followed by p_partkey // 2) that one brand alone has."""
-    p = G.table(spark, sf_dir, "part").groupBy(F.expr("p_partkey div 2").alias("symbol"))
-    return p.agg(F.min("p_brand").alias("p_brand"), F.countDistinct("p_brand").alias("n")).filter("n = 1").select("symbol", "p_brand")
-
-
-@query("select s_suppkey from supplier where s_suppkey not in (select l_suppkey from lineitem where l_quantity > 45)")
-def prune_stale(spark, sf_dir):
-    live = G.table(spark, sf_dir, "lineitem").filter("l_quantity > 45").select(F.col("l_suppkey").alias("s_suppkey"))
-    return G.table(spark, sf_dir, "supplier").select("s_suppkey").join(live, "s_suppkey", "left_anti")
-
-
 @query(f"with tails as (select file_id, substr(path, i + 1) tail from ({SRC}), unnest(range(0, length(path))) r(i) where i = 0 or substr(path, i, 1) = '/'), u as (select tail, min(file_id) file_id, count(*) n from tails group by 1) select 'p' || p_partkey || '.js' as tail, file_id from part join u on u.tail = 'p' || p_partkey || '.js' where n = 1")
 def suffix_unique_match(spark, sf_dir):
     from ..operators.resolvers import unique_suffix
@@ -264,19 +189,39 @@ def slowest_topn(spark, sf_dir):
     return G.table(spark, sf_dir, "orders").orderBy(F.desc("o_totalprice"), "o_orderkey").limit(20).select("o_orderkey", F.round("o_totalprice", 2).alias("ms"))
 
 
-@query()
+#: Facts of a part by their place: fire, listener, use, definition.
+PART_FACTS = "select p_partkey p, unnest([p_partkey * 8 + 1, case when p_partkey % 11 = 0 then p_partkey * 8 + 2 end, case when p_partkey % 2 = 0 then p_partkey * 8 + 3 end, p_partkey * 8 + 4]) f from part"
+#: What a part bridges to in one step: kind, the fact there and its part, precision.
+PART_STEPS = """select a.p_partkey p, case when a.p_size % 5 <> 0 then 'hook-mediated' else 'hook-mediated-uncertain' end k, b.p_partkey q, b.p_partkey * 8 + 2 dest, a.p_partkey * 8 + 1 origin, 1.0::double prec from part a join part b on a.p_partkey % 97 = b.p_partkey % 97 and b.p_partkey % 11 = 0 and b.p_partkey % 77 <> 0
+union all select p, k, q, dest, origin, prec from (select a.p_partkey p, case when a.p_size % 5 <> 0 then 'hook-mediated' else 'hook-mediated-uncertain' end k, b.p_partkey q, b.p_partkey * 8 + 2 dest, a.p_partkey * 8 + 1 origin, 0.6::double prec, row_number() over (partition by a.p_partkey order by b.p_partkey) n
+  from part a join part b on (a.p_partkey % 97) // 10 = (b.p_partkey % 97) // 10 and a.p_partkey % 97 >= 10 and b.p_partkey % 77 = 0) where n <= 32
+union all select a.p_partkey, 'symbol-call', b.p_partkey, b.p_partkey * 8 + 4, a.p_partkey * 8 + 3, 1.0 from part a join part b on b.p_partkey = a.p_partkey // 2 and a.p_partkey % 2 = 0"""
+STEP_PRICE = "case k when 'hook-mediated' then 0.8 when 'hook-mediated-uncertain' then 0.4 else 0.9 end * prec"
+
+
+@query(f"""with src as ({SRC}), tests as ({TESTS}), facts as (select p, f from ({PART_FACTS}) where f is not null), steps as ({PART_STEPS}),
+own as (select t.o_orderkey, s.l_partkey p, min({G.CALL_FACTS} + s.l_orderkey * {G.PARTS} + s.l_partkey) i from tests t join orders o on o.o_custkey = t.c_custkey join lineitem s on s.l_orderkey = o.o_orderkey where t.framework = 'phpunit' or o.o_orderkey = t.o_orderkey group by all),
+seen as (select o_orderkey, p q, 'js-import' k, f dest, i origin, 0.95::double c from own join facts using (p)
+  union all select o_orderkey, q, k, dest, origin, {STEP_PRICE} * 0.92 * 0.92 from own join steps using (p)),
+once as (select o_orderkey, q, k, dest, any_value(c) c from seen group by all),
+edges as (select o_orderkey, q, 1 - product(1 - c) confidence, bool_or(k like '%-uncertain') partial from once group by all),
+ids as (select o_orderkey, q, string_agg(x::varchar, ',' order by x) provenance from (select o_orderkey, q, origin x from seen union select o_orderkey, q, dest from seen) group by all)
+select {TEST_ID} test_id, src.path as source, round(confidence, 6) confidence, partial, provenance from edges join ids using (o_orderkey, q) join tests using (o_orderkey) join src on src.file_id = q where not vendor""".replace("framework || ':' || path", "framework || ':' || tests.path"))
 def traverse_edges(spark, sf_dir):
-    """All edges of the projected graph, through the whole walk."""
+    """All edges of the projected graph (every line item is an import), through the whole walk, with the facts they come from."""
     facts, own = G.facts_and_links(spark, sf_dir)
     return derive(G.files(spark, sf_dir), facts, own, G.tests(spark, sf_dir).select("test_id", "file_id", "framework", "fact_id")).select("test_id", "source", F.round("confidence", 6).alias("confidence"), "partial", F.array_join("provenance", ",").alias("provenance"))
 
 
-@query()
+@query(f"""with src as ({SRC}), steps as ({PART_STEPS})
+select a.path as source, b.path target, round(1 - product(1 - {STEP_PRICE} * 0.92), 6) confidence, bool_or(k like '%-uncertain') partial, string_agg(distinct k, ',' order by k) kinds
+from steps join src a on a.file_id = p and not a.vendor join src b on b.file_id = q and not b.vendor where p <> q group by all""")
 def direct_dependencies(spark, sf_dir):
+    """What each part directly depends on."""
     facts, own = G.facts_and_links(spark, sf_dir)
     rows, _ = dependencies(G.files(spark, sf_dir), facts, own, G.source_files(G.table(spark, sf_dir, "part")).select("path"))
     return rows.select("source", "target", F.round("confidence", 6).alias("confidence"), "partial", F.array_join("kinds", ",").alias("kinds"))
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tests_from_sources(spark, sf_dir)
+    return traverse_edges(spark, sf_dir)

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: Where the ids of test files, and of the facts of tests, parts and line items begin.
 TEST_FILES, TEST_FACTS, CALL_FACTS = 1_000_000_000_000, 2_000_000_000_000, 3_000_000_000_000
+#: More parts than any table has, so that a call has a number of its own.
+PARTS = 1 << 28
 FRAMEWORK_OF = {"AUTOMOBILE": "phpunit", "BUILDING": "jest", "FURNITURE": "playwright", "HOUSEHOLD": "qunit", "MACHINERY": "jest"}
 
 
@@ -48,11 +50,11 @@ def calls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def facts_and_links(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Facts and links for the walk: each test imports a part, parts call on through hooks, routes and symbols."""
+    """Facts and links for the walk: each test imports the parts of its order, parts call on through hooks, routes and symbols."""
     none = lambda kind: F.lit(None).cast(kind)
     p, o = table(spark, sf_dir, "part"), table(spark, sf_dir, "orders")
     src = source_files(p).select("file_id", "path")
-    first = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.min("l_partkey").alias("part"))
+    called = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), F.col("l_partkey").alias("part")).distinct()
     line = (F.col("o_orderkey") * 10).cast("int")
 
     def row(df, fact_id, file_id, kind, at, until=None, **given):
@@ -62,8 +64,8 @@ def facts_and_links(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFr
 
     test_file = F.col("o_custkey") + TEST_FILES
     defs = row(o, F.col("o_orderkey") + TEST_FACTS, test_file, "test-def", line, line + 8)
-    seen = o.join(first, "o_orderkey").join(src.withColumnRenamed("file_id", "part"), "part")
-    imports = row(seen, F.col("o_orderkey") + CALL_FACTS, test_file, "import-edge", line + 1, resolved_path=F.col("path"))
+    seen = o.join(called, "o_orderkey").join(src.withColumnRenamed("file_id", "part"), "part")
+    imports = row(seen, F.col("o_orderkey") * PARTS + F.col("part") + CALL_FACTS, test_file, "import-edge", line + 1, resolved_path=F.col("path"))
     group = F.col("p_partkey") % 97
     fires = row(p, F.col("p_partkey") * 8 + 1, F.col("p_partkey"), "hook-fire", F.lit(2), hook=F.concat(F.lit("s_"), group.cast("string")), resolved=F.col("p_size") % 5 != 0)
     listens = row(p.filter("p_partkey % 11 = 0"), F.col("p_partkey") * 8 + 2, F.col("p_partkey"), "hook-listener", F.lit(3))

@@ -20,12 +20,12 @@ def folder(spark, tmp_path_factory):
 
 
 def test_every_test_is_asked(spark, folder):
-    got = {int(r.test_id.rpartition("o")[2]) for r in catalogue.queries()["sources_from_all_tests"](spark, folder).collect()}
+    got = {int(r.test_id.rpartition("o")[2]) for r in catalogue.queries()["sources_from_tests"](spark, folder).collect()}
     assert got == set(range(1, 61))
 
 
 def test_every_part_counts(spark, folder):
-    got = {r.symbol: r.p_brand for r in catalogue.queries()["ambiguity_poison_all"](spark, folder).collect()}
+    got = {r.symbol: r.p_brand for r in catalogue.queries()["ambiguity_poison"](spark, folder).collect()}
     assert got == {**{i: "B1" for i in range(10)}, 30: "B0"}
 
 
