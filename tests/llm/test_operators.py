@@ -163,17 +163,120 @@ def test_gif_rules():
         with pytest.raises(gif.GifError):
             gif.decode(bad)
     raw = np.random.default_rng(0).integers(0, 256, 5000).astype(np.uint8)
-    assert gif._lzw_general(gif.lzw_literals(raw), 8, 5000) == raw.tobytes() == gif.lzw_decode(gif.lzw_literals(raw), 8, 5000).tobytes()
+    assert gif.lzw_decode(gif.lzw_encode(raw.tobytes()), 8, 5000).tobytes() == raw.tobytes()
+
+
+def plain_lzw(data, code_size, n):
+    """A reader that makes its dictionary one code at a time."""
+    bits = int.from_bytes(data, "little")
+    clear = 1 << code_size
+    table, width, before, out = None, code_size + 1, None, b""
+    while len(out) < n:
+        code, bits = bits & ((1 << width) - 1), bits >> width
+        if code == clear:
+            table, width, before = [bytes([i]) for i in range(clear)] + [b"", b""], code_size + 1, None
+            continue
+        text = table[code] if code < len(table) else before + before[:1]
+        if before is not None and len(table) < 4096:
+            table.append(before + text[:1])
+            width += len(table) == 1 << width and width < 12
+        before, out = text, out + text
+    return out[:n]
+
+
+def test_lzw():
+    r = random.Random(2)
+    for n in (1, 2, 300, 9000, 30_000):
+        for raw in (bytes(r.randrange(256) for _ in range(n)), bytes(n), "".join(r.choice(["the ", "and ", "wörd "]) for _ in range(n)).encode()[:n]):
+            data = gif.lzw_encode(raw)
+            assert plain_lzw(data, 8, n) == raw == gif.lzw_decode(data, 8, n).tobytes()
+    assert gif.lzw_decode(gif.lzw_encode(bytes([0, 1, 1, 1, 1, 1, 0]), 2), 2, 7).tolist() == [0, 1, 1, 1, 1, 1, 0]
+    # a writer that never clears: the dictionary stays full
+    raw = bytes(r.randrange(4) for _ in range(60_000))
+    codes, table, held, widths, size = [4], {bytes([i]): i for i in range(4)}, b"", [3], 6
+    for c in raw:
+        if held + bytes([c]) in table:
+            held += bytes([c])
+            continue
+        codes.append(table[held])
+        if size < 4096:
+            table[held + bytes([c])] = size
+            size += 1
+        held = bytes([c])
+    codes.append(table[held])
+    widths += [min(12, max(3, min(4096, 6 + max(k - 1, 0)).bit_length())) for k in range(len(codes) - 1)]
+    value, at = 0, 0
+    for code, w in zip(codes, widths, strict=True):
+        value |= code << at
+        at += w
+    assert gif.lzw_decode(value.to_bytes(at // 8 + 1, "little"), 2, len(raw)).tobytes() == raw
+    with pytest.raises(gif.GifError):
+        gif.lzw_decode(gif.lzw_encode(raw[:500]), 8, 501)
+
+
+def test_gif_frames(spark):
+    """A stored text as frames: what is drawn, cleared and left out gives the bytes again, with times and histograms."""
+    text = "".join(chr(32 + i % 90) for i in range(64 * 1500))
+    media = gif.encode_payload(gif.padded(text.encode()))
+    df = spark.createDataFrame([(1, bytearray(media)), (2, None), (3, bytearray(media[:-5]))], "id long, data binary")
+    rows = sorted(gif.frames(df, "id", "data").collect(), key=lambda x: (x.media_id, x.frame is None, x.frame))
+    own = [x for x in rows if x.media_id == 1]
+    assert [(x.frame, x.start_ms, x.delay_ms, x.width, x.height, x.disposal) for x in own] == [(0, 0, 100, 64, 1024, 2), (1, 100, 100, 64, 476, 2)]
+    assert b"".join(bytes(x.samples)[::3] for x in own) == text.encode()
+    assert [sum(x.histogram) for x in own] == [3 * 64 * 1024, 3 * 64 * 476]
+    assert [x.error is None for x in rows if x.media_id == 3] == [True, False] and [x.error for x in rows if x.media_id == 2] == ["not a GIF"]
+
+
+def base_secrets(text):
+    found = [(m.start(), 0, m.end()) for m in re.finditer(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text, re.IGNORECASE | re.ASCII) if len(m[2]) >= 12]
+    found += [(m.start(), 1, m.end()) for m in re.finditer(r"AKIA[A-Z0-9]+", text) if len(m[0]) >= 18]
+    found += [(m.start(), 2, m.end()) for m in re.finditer(r"[0-9a-f]+", text) if len(m[0]) >= 16]
+    return [(secrets.KINDS[k], s, e) for s, k, e in sorted(found)]
+
+
+def best_stretch(model, run):
+    """The best of all stretches, one by one."""
+    worth = [0, 0, *(model.ratio.get(run[i - 2 : i + 1], 0.0) - secrets.MARGIN for i in range(2, len(run)))]
+    return max((sum(worth[a + 2 : b]) for a in range(len(run)) for b in range(a + secrets.LEAST, len(run) + 1)), default=-1e9)
 
 
 def test_secrets(spark, docs, empty):
-    got = {r.doc_id: r for r in secrets.secrets(docs).collect()}
-    assert (got[11].n_assign, got[11].n_access, got[11].n_hex) == (1, 1, 1) and got[0].spans == "" == got[8].spans
-    assert secrets.secrets(empty).count() == 0
+    r = random.Random(8)
+    key = "9fK2mQx7Rt4Lw8Zb1Nc6Vy3H"
+    hard = ["".join(r.choice("tokensecret=: AKIAa1f\"'/_-") for _ in range(r.randint(0, 80))) for _ in range(300)]
+    hard += [f"see https://x.example/some/ordinary/path/{key} there", f"AWS_ACCESS_SETTING={key}", f"token={key} {key}", "the_configuration_manager_instance and internationalisation", "x" * 5000, key * 40]
+    texts = [*TEXTS, *hard]
+    df = spark.createDataFrame([(i, t, "k") for i, t in enumerate(texts)] + [(None, f"n {key}", "k")], "doc_id long, text string, spans string")
+    got = {x.doc_id: x for x in secrets.secrets(df).collect()}
     model = secrets.train(secrets.labelled_samples())
-    fresh = secrets.labelled_samples(500, 99)
-    assert sum(model.score(s) >= model.threshold for s, y in fresh if y) > 480
-    assert sum(model.score(s) >= model.threshold for s, y in fresh if not y) < 10
+    for i, text in enumerate(texts):
+        text, x = text or "", got[i]
+        base = base_secrets(text)
+        assert (x.n_assign, x.n_access, x.n_hex) == tuple(sum(k == kind for k, _, _ in base) for kind in secrets.KINDS)
+        assert x.base_sha256 == hashlib.sha256(",".join(f"{k}:{s}:{e}" for k, s, e in base).encode()).hexdigest()
+        mine = [tuple(s.split(":")) for s in x.spans.split(",") if s]
+        assert [(k, int(s), int(e)) for k, s, e in mine if k != "random"] == base
+        # every run that no base span touches: reported where its best stretch reaches the threshold
+        for m in re.finditer(r"[A-Za-z0-9+/_=-]{12,}", text):
+            if len(m[0]) < 100 and not any(s < m.end() and m.start() < e for _, s, e in base):
+                inside = [(int(s), int(e)) for k, s, e in mine if k == "random" and m.start() <= int(s) < m.end()]
+                assert bool(inside) == (best_stretch(model, m[0]) >= model.threshold), m[0]
+    for text in hard[300:302]:
+        assert any(key[3:20] in text[int(s) : int(e)] for k, s, e in (x.split(":") for x in got[texts.index(text)].spans.split(",")))
+    assert got[texts.index(hard[303])].spans == "" and got[texts.index(hard[302])].n_random == 1 and got[None].n_random == 1
+    assert got[0].spans == "" == got[8].spans and secrets.secrets(empty).count() == 0
+
+
+def test_secret_threshold():
+    """At most the stated share of ordinary strings is reported, and of long random ones nearly all, both from other seeds."""
+    samples = secrets.labelled_samples()
+    fit, rest = secrets.parts_of(samples)
+    assert {y for _, y in rest} == {0, 1} and len(fit) + len(rest) == len(samples)
+    model = secrets.train(samples)
+    assert 0 < model.threshold < 1e9
+    recall, wrong = secrets.quality_of(model, secrets.labelled_samples(3000, 99))
+    assert recall > 0.95 and wrong < 0.003
+    assert secrets.train([(s, y) for s, y in samples if y]).threshold == float("inf")
 
 
 def test_licences(spark, docs, empty):
