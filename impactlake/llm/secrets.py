@@ -1,9 +1,13 @@
 """Secret scan: fixed patterns, and strings that a Markov model takes for random.
 
 Two character models of second order are trained on labelled samples: strings drawn at
-random from the alphabets of keys, and ordinary identifiers and words.  A candidate (a
-run of key characters) is reported where the log-likelihood ratio of the two, per
-character, exceeds a threshold that is set on a part of the samples not trained on.
+random from the alphabets of keys, and ordinary identifiers, words and their joins.  Of
+every run of key characters the stretch with the greatest sum of log-likelihood ratios is
+looked at, so a key that stands beside ordinary text, behind ``=``, ``/`` or ``_``, is met
+as well as one alone; it is reported where the sum exceeds a threshold.  The threshold is
+set on samples of both labels that were not trained on: the least sum that no more than a
+share of the ordinary ones reaches.  A sum grows with length, so no length is ruled out but
+that of the patterns' shortest secret.
 """
 
 from __future__ import annotations
@@ -25,9 +29,17 @@ KINDS = ("assign", "access", "hex")
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{16,}")
-#: Runs the model looks at, and the least characters of one.
-_CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
-_LETTER_AND_DIGIT = re.compile(r"[A-Za-z][^0-9]*[0-9]|[0-9][^A-Za-z]*[A-Za-z]")
+#: Least characters of a run that the model looks at, and of a stretch of it: those of the shortest secret of the patterns.
+LEAST = 12
+_CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{12,}")
+#: Ratio that each character of a stretch must outweigh, so that stretches end where random characters do.
+MARGIN = 0.1
+#: Share of ordinary strings, of those not trained on, that may be reported.
+FALSE_SHARE = 0.0002
+#: Odds that a stretch is random must be e to this at least, whatever the samples say.
+LEAST_SUM = 2.0
+#: Runs whose stretch a worker remembers.
+REMEMBERED = 100_000
 
 #: Words of which ordinary identifiers are made (fixed values).
 WORDS = (
@@ -47,33 +59,40 @@ WORDS = (
     "variable version video view visible wait warning watch widget width window word worker wrap write year zone"
 ).split()
 #: Syllables of ordinary words in the languages of the corpus (fixed values).
-SYLLABLES = "the ing and ion tio ent ati for her ter hat tha ere ate his con res ver all ons nce men ith ted ers pro thi wit are ess not ive was ect rea com eve per int est sta cti ica ist ear ain one our iti rat und ein ich der sch die gen che ung ten ver ber keit lich heit eur que les ment des aux eau oir ait ant dre par ire ado cion dad que los las est ara ien mente ando aje".split()
+SYLLABLES = "the ing and ion tio ent ati for her ter hat tha ere ate his con res ver all ons nce men ith ted ers pro thi wit are ess not ive was ect rea com eve per int est sta cti ica ist ear ain one our iti rat und ein ich der sch die gen che ung ten ver ber keit lich heit eur que les ment des aux eau oir ait ant dre par ire ado cion dad que los las est ara ien mente ando aje une ai an vi ier elle le ou oi aux autre etre tre la pa pe eux air vre che wh th hen ly re er ble an na dha ha on and ed sh bly be pf ach ge zu tz erz schu lic de ein nach ist tzt kei aga aco os ja co mi ga ez se sa osa en zco arr bi su jo".split()
 #: Alphabets of random strings (fixed values).
 ALPHABETS = ("0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", "abcdefghijklmnopqrstuvwxyz0123456789_-")
-SAMPLES = 4000
+SAMPLES = 8000
 
 
 def labelled_samples(n: int = SAMPLES, seed: int = 7) -> list[tuple[str, int]]:
     """``n`` random strings (1) and ``n`` ordinary ones (0), the same on every machine."""
     r = random.Random(seed)
-    out = []
-    for _ in range(n):
-        out.append(("".join(r.choices(r.choice(ALPHABETS), k=r.randint(20, 48))), 1))
-        some = [r.choice(WORDS) for _ in range(r.randint(3, 6))]
-        style = r.randrange(6)
-        if style == 0:
-            text = "_".join(some)
-        elif style == 1:
-            text = "-".join(some)
+
+    def ordinary() -> str:
+        some = [r.choice(WORDS) for _ in range(r.randint(2, 6))]
+        style = r.randrange(9)
+        if style < 2:
+            text = "_-"[style].join(some)
         elif style == 2:
             text = some[0] + "".join(w.title() for w in some[1:])
         elif style == 3:
             text = "_".join(some).upper()
         elif style == 4:
             text = "/".join(some) + r.choice(["", str(r.randint(0, 2030))])
+        elif style == 5:
+            text = "=".join(some[:2]) + r.choice(["=true", "=1", "/" + "/".join(some[2:]), f"={r.randint(0, 99999)}"])
+        elif style == 6:
+            text = r.choice(["-", "=", "_", "/", "+"]) * r.randint(12, 80)
         else:
-            text = "".join(r.choice(SYLLABLES) for _ in range(r.randint(6, 12)))
-        out.append((text + (str(r.randint(0, 99)) if r.random() < 0.3 else ""), 0))
+            text = "".join(r.choice(SYLLABLES) for _ in range(r.randint(4, 14)))
+            text = r.choice([text, text, text, text.title(), text.upper()])
+        return text + (str(r.randint(0, 99)) if r.random() < 0.3 and style != 6 else "")
+
+    out = []
+    for _ in range(n):
+        out.append(("".join(r.choices(r.choice(ALPHABETS), k=r.randint(16, 48))), 1))
+        out.append((ordinary(), 0))
     return out
 
 
@@ -83,24 +102,48 @@ _N = len(_CODES)
 
 @dataclass
 class MarkovRatio:
-    """score(s): mean log-likelihood ratio per character of random against ordinary."""
+    """stretch(s): the part of a string that is most likely random, with its sum of log-likelihood ratios."""
 
     ratio: dict[str, float]
-    default: float
     threshold: float
 
-    def score(self, s: str) -> float:
-        get, default = self.ratio.get, self.default
-        return sum([get(s[i : i + 3], default) for i in range(len(s) - 2)]) / max(1, len(s) - 2)
+    def stretch(self, s: str) -> tuple[float, int, int]:
+        """(sum, start, end) of the best stretch of at least LEAST characters; of equals the first."""
+        get, total = self.ratio.get, 0.0
+        sums = [0.0, 0.0, 0.0]
+        for i in range(2, len(s)):
+            total += get(s[i - 2 : i + 1], 0.0) - MARGIN
+            sums.append(total)
+        # a stretch is worth the difference of the sums at its end and behind its first two characters
+        best, found, low, begin = -math.inf, (0, 0), math.inf, 0
+        for end in range(LEAST, len(s) + 1):
+            if sums[end - LEAST + 2] < low:
+                low, begin = sums[end - LEAST + 2], end - LEAST
+            if sums[end] - low > best:
+                best, found = sums[end] - low, (begin, end)
+        return best, *found
+
+    def is_random(self, s: str) -> bool:
+        return self.stretch(s)[0] >= self.threshold
+
+
+def parts_of(samples: list[tuple[str, int]]) -> tuple[list[tuple[str, int]], list[tuple[str, int]]]:
+    """(samples to train on, samples to calibrate with): of each label every fourth is kept for the latter."""
+    fit, rest, seen = [], [], [0, 0]
+    for s, y in samples:
+        (rest if seen[y] % 4 == 3 else fit).append((s, y))
+        seen[y] += 1
+    return fit, rest
 
 
 def train(samples: list[tuple[str, int]]) -> MarkovRatio:
-    """Models from three quarters of the samples; the threshold, from the rest, passes at most 1 in 1,000 ordinary ones.
+    """The models, and the least threshold that FALSE_SHARE of the ordinary samples not trained on reaches at most.
 
     A character given the two before it backs off to the character given one, and that to
-    equal chances, by adding counts; so unseen contexts count little either way.
+    equal chances, by adding counts; so unseen contexts count little either way.  Without
+    ordinary samples to calibrate with, nothing is random.
     """
-    fit, rest = [s for i, s in enumerate(samples) if i % 4], samples[::4]
+    fit, rest = parts_of(samples)
     chance = []
     for label in (0, 1):
         two: dict[str, int] = {}
@@ -126,13 +169,19 @@ def train(samples: list[tuple[str, int]]) -> MarkovRatio:
 
         chance.append(p)
     ratio = {a + b + c: math.log(chance[1](a + b + c) / chance[0](a + b + c)) for a in _CODES for b in _CODES for c in _CODES}
-    model = MarkovRatio(ratio, 0.0, 0.0)
-    ordinary = sorted((model.score(s) for s, y in rest if y == 0), reverse=True)
+    model = MarkovRatio(ratio, math.inf)
+    ordinary = sorted((model.stretch(s)[0] for s, y in rest if y == 0), reverse=True)
     if ordinary:
-        model.threshold = max(0.0, ordinary[len(ordinary) // 1000]) + 0.05
+        model.threshold = max(LEAST_SUM, ordinary[int(len(ordinary) * FALSE_SHARE)] + 1e-9)
     return model
 
 
+def quality_of(model: MarkovRatio, samples: list[tuple[str, int]]) -> tuple[float, float]:
+    """(share of random strings that are reported, share of ordinary ones)."""
+    met = [[model.is_random(s) for s, y in samples if y == label] for label in (1, 0)]
+    return tuple(sum(m) / max(1, len(m)) for m in met)
+
+
 def base_spans(text: str) -> list[tuple[int, int, str]]:
     """(start, end, kind) of the fixed patterns, by start, then in the order of KINDS."""
     found = [(m.start(), 0, m.end()) for m in _ASSIGN.finditer(text) if m.end(2) - m.start(2) >= 12]
@@ -141,30 +190,51 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return [(s, e, KINDS[k]) for s, k, e in sorted(found)]
 
 
-def added_spans(text: str, base: list[tuple[int, int, str]], model: MarkovRatio) -> list[tuple[int, int, str]]:
-    """Candidates outside the base spans that the model takes for random, of kind ``random``."""
-    out = []
+def added_spans(text: str, base: list[tuple[int, int, str]], model: MarkovRatio, known: dict[str, tuple[float, int, int]] | None = None) -> tuple[list[tuple[int, int, str]], int]:
+    """(spans of kind ``random`` outside the base spans, number of runs looked at).
+
+    What a base span takes of a run is cut off, so the rest of it is looked at on its own.
+    ``known`` remembers stretches of runs.
+    """
+    out, looked, k = [], 0, 0
+    known = {} if known is None else known
     for m in _CANDIDATE.finditer(text):
-        s, e = m.span()
-        word = m.group()
-        if _LETTER_AND_DIGIT.search(word) and not any(s < b and a < e for a, b, _ in base) and model.score(word) >= model.threshold:
-            out.append((s, e, "random"))
-    return out
+        at, stop = m.span()
+        while k < len(base) and base[k][1] <= at:
+            k += 1
+        j = k
+        while at < stop:
+            # up to the next base span, then after it
+            while j < len(base) and base[j][1] <= at:
+                j += 1
+            cut, after = (base[j][0], base[j][1]) if j < len(base) and base[j][0] < stop else (stop, stop)
+            if cut - at >= LEAST:
+                looked += 1
+                run = text[at:cut]
+                got = known.get(run)
+                if got is None:
+                    got = model.stretch(run)
+                    if len(known) < REMEMBERED and len(run) < 64:
+                        known[run] = got
+                if got[0] >= model.threshold:
+                    out.append((at + got[1], at + got[2], "random"))
+            at = max(after, cut)
+    return out, looked
 
 
 def joined(spans: list[tuple[int, int, str]]) -> str:
     return ",".join(f"{k}:{s}:{e}" for s, e, k in spans)
 
 
-SCHEMA = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_random long"
+SCHEMA = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_random long, n_scored long"
 #: A text with none of these has no match of the first pattern, the second, the third or a candidate.
-_MAY = re.compile(r"[:=]\x20*[\"']?[A-Za-z0-9+/_.=-]{12}|AKIA|[0-9a-f]{16}|[A-Za-z0-9+/_=-]{20}")
+_MAY = re.compile(r"[A-Za-z0-9+/_.=-]{12}")
 
 
 def _scanned(held):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: MarkovRatio = held.value
-        none = hashlib.sha256(b"").hexdigest()
+        none, known = hashlib.sha256(b"").hexdigest(), {}
         for batch in batches:
             for lo in range(0, batch.num_rows, 512):
                 part = batch.slice(lo, 512)
@@ -172,24 +242,26 @@ def _scanned(held):
                 for text in part.column(1):
                     text = text.as_py() or ""
                     if not _MAY.search(text):
-                        rows.append((0, 0, 0, none, "", 0))
+                        rows.append((0, 0, 0, none, "", 0, 0))
                         continue
                     base = base_spans(text)
-                    more = added_spans(text, base, model)
+                    more, looked = added_spans(text, base, model, known)
                     of = [k for _, _, k in base]
                     spans = sorted([*base, *more], key=lambda x: (x[0], (*KINDS, "random").index(x[2])))
-                    rows.append((*(of.count(k) for k in KINDS), hashlib.sha256(joined(base).encode()).hexdigest(), joined(spans), len(more)))
-                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64())
+                    rows.append((*(of.count(k) for k in KINDS), hashlib.sha256(joined(base).encode()).hexdigest(), joined(spans), len(more), looked))
+                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64())
                 yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True))], names=[c.split()[0] for c in SCHEMA.split(", ")])
 
     return run
 
 
 def secrets(docs: DataFrame, samples: list[tuple[str, int]] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A row for each document: its spans in code points, the end exclusive.
+    """A row for each document: its spans in code points, the end exclusive, and how many runs the model scored.
 
     Null and empty texts have no spans.  Ids may be null or repeated; each row stands for
-    itself.  Other columns are not read.  ``samples`` are labelled strings to train on.
+    itself.  Other columns are not read.  Texts of any length are scanned whole, in time in
+    proportion to them.  Spans that begin together stand in the order of their kinds; of
+    equal stretches of a run the first is reported.  ``samples`` are labelled strings to train on.
     """
     model = train(samples if samples is not None else labelled_samples())
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
