@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table, stage
+from .common import dropped, read_table, stage
 from .textvec import U64, slices, word_hashes, word_spans
 
 #: Labelled rows that a fit uses at most: those of the smallest hashes of their ids.
@@ -80,11 +80,12 @@ def statistics(raw: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, y, x) of labelled texts (doc_id, y, text)."""
     for batch in batches:
-        for lo, hi, raw, at in slices(batch.column(1)):
+        for lo, hi, raw, at in slices(batch.column(2)):
             rows = statistics(raw, at)
-            flat = pa.array(rows.ravel())
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * len(FEATURES)), flat)], names=["doc_id", "x"])
+            x = pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * len(FEATURES)), pa.array(rows.ravel()))
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), x], names=["doc_id", "y", "x"])
 
 
 @dataclass
@@ -171,9 +172,8 @@ def _scored(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trees: Trees = model.value
         for batch in batches:
-            flat = batch.column(1).flatten().to_numpy(zero_copy_only=False)
-            score = trees.score(flat.reshape(-1, len(FEATURES)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score)], names=["doc_id", "score"])
+            for lo, hi, raw, at in slices(batch.column(1)):
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(trees.score(statistics(raw, at)))], names=["doc_id", "score"])
 
     return run
 
@@ -191,19 +191,32 @@ def quality_scores(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_R
     of documents that are not there, are left out; of several labels of a document the
     largest counts.  A row with a null id is scored and not held out.
     """
-    rows, trees = _fitted(docs, labels, train_rows)
-    scored = rows.mapInArrow(_scored(docs.sparkSession.sparkContext.broadcast(trees)), "doc_id long, score double")
+    trees = fitted(docs, labels, train_rows)
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    scored = texts.mapInArrow(_scored(docs.sparkSession.sparkContext.broadcast(trees)), "doc_id long, score double")
     return scored.select("doc_id", held_out().alias("held_out"), "score", F.when(F.col("score") >= THRESHOLD, 1).otherwise(0).alias("predicted"))
 
 
-def _fitted(docs: DataFrame, labels: DataFrame, train_rows: int) -> tuple[DataFrame, Trees]:
-    """The statistics of every document, and the trees fitted on labelled ones."""
+def fitted(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Trees:
+    """Trees fitted on at most ``train_rows`` labelled documents, those of the smallest hashes of their ids.
+
+    Labels are counted first, and a cut on the hash leaves a few more than the bound, so a
+    bounded table is all that is joined with the documents and all that reaches the driver.
+    Rows with the same id count once, by the least statistics.
+    """
+    known = labels.filter("quality in (0, 1) and doc_id is not null").filter(~held_out()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("quality").cast("int").alias("y"))
+    known = known.withColumn("place", F.xxhash64("doc_id"))
+    many = known.count()
+    if many > 2 * train_rows:
+        known = known.filter(F.col("place") < int(-(1 << 63) + 1.3 * train_rows / many * (1 << 64)))
+    known = stage(known, "labelled")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = stage(texts.mapInArrow(_features, "doc_id long, x array<double>"), "statistics")
-    known = labels.filter("quality in (0, 1) and doc_id is not null").filter(~held_out()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("quality").alias("y"))
-    sample = rows.join(known, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "x").limit(train_rows).toPandas()
+    rows = texts.join(F.broadcast(known.select("doc_id", "y")), "doc_id").select("doc_id", "y", "text").mapInArrow(_features, "doc_id long, y int, x array<double>")
+    sample = rows.groupBy("doc_id").agg(F.min(F.struct("x", "y")).alias("r")).select(F.xxhash64("doc_id").alias("place"), "doc_id", "r.x", "r.y").toPandas()
+    dropped(known)
+    sample = sample.sort_values(["place", "doc_id"]).head(train_rows)
     x = np.stack(sample["x"].to_list()) if len(sample) else np.zeros((0, len(FEATURES)))
-    return rows, fit(x, sample["y"].to_numpy(np.float64))
+    return fit(x, sample["y"].to_numpy(np.float64))
 
 
 def _kept(model, column: int):
@@ -219,7 +232,7 @@ def _kept(model, column: int):
 
 def good_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``docs`` without the rejected documents (score below the threshold); all columns stay."""
-    _, trees = _fitted(docs, labels, TRAIN_ROWS)
+    trees = fitted(docs, labels)
     return docs.mapInArrow(_kept(docs.sparkSession.sparkContext.broadcast(trees), docs.columns.index("text")), docs.schema)
 
 
