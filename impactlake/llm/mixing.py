@@ -6,13 +6,15 @@ epochs) goes to its siblings first, and leaves the parent only when all of them
 Each leaf takes a prefix of a stream of seeded epochs: every epoch holds all documents of
 the leaf, ordered by a hash of seed, epoch and id.
 
-All arithmetic on budgets is in integers, so results do not depend on how rows are dealt.
+All arithmetic on budgets, and their order, is in integers, so results do not depend on how rows are dealt.
 The prefix's end is found by sums over ranges of hashes, so no leaf meets in one task; the
 leaf table (one row for each source) is all that is joined with the documents.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -24,10 +26,15 @@ BUDGET_PERCENT = 80
 EPOCHS = 2
 #: Domains that sources are dealt to where no domain column is there.
 DOMAINS = 4
-#: Weights of languages; a language that is not listed has OTHER_WEIGHT.
+#: Weights of the names of each level where the caller gives none; a name that is not listed has OTHER_WEIGHT.
 LANGUAGE_WEIGHTS = {"en": 4, "de": 2, "fr": 2, "es": 2}
+WEIGHTS = {"lang": LANGUAGE_WEIGHTS}
 OTHER_WEIGHT = 1
 LEVELS = ("domain", "lang", "source")
+#: Names that columns of documents do not have.
+OWN = "__mix_"
+#: What the mix says of a document.
+TAKEN = ("epochs_taken", "tokens_taken", "tokens", "domain")
 
 
 def tokens_of(text: Column) -> Column:
@@ -39,15 +46,15 @@ def keyed(docs: DataFrame) -> DataFrame:
     """The key columns of a document: null languages and sources are the empty string."""
     lang, source = F.coalesce(F.col("lang").cast("string"), F.lit("")), F.coalesce(F.col("source").cast("string"), F.lit(""))
     domain = F.concat(F.lit("d"), F.pmod(F.ascii(F.md5(source)), F.lit(DOMAINS)).cast("string"))
-    return docs.select("*", domain.alias("__domain"), lang.alias("__lang"), source.alias("__source"), tokens_of(F.col("text")).alias("__tokens"))
+    return docs.select("*", *[c.alias(OWN + name) for name, c in (("domain", domain), ("lang", lang), ("source", source), ("tokens", tokens_of(F.col("text"))))])
 
 
-def spot(epoch: Column, doc_id: Column) -> Column:
+def spot(epoch: Column, doc_id: Column, seed: int = SEED) -> Column:
     """A document's place in an epoch: 32 hexadecimal digits."""
-    return F.md5(F.concat_ws(":", F.lit(str(SEED)), epoch.cast("string"), F.coalesce(doc_id.cast("string"), F.lit(""))))
+    return F.md5(F.concat_ws(":", F.lit(str(seed)), epoch.cast("string"), F.coalesce(doc_id.cast("string"), F.lit(""))))
 
 
-def _filled(nodes: DataFrame, budget: DataFrame | Column, parents: list[str]) -> DataFrame:
+def _filled(nodes: DataFrame, budget: DataFrame | Column, parents: list[str], common: int) -> DataFrame:
     """Budgets of nodes (parents..., name, weight, cap) from budgets of their parents (of the root: a column).
 
     A node is full where its capacity is below its share of what fuller siblings leave;
@@ -55,8 +62,10 @@ def _filled(nodes: DataFrame, budget: DataFrame | Column, parents: list[str]) ->
     go to the first of them that have room, one each.
     """
     rows = nodes.join(budget, parents) if parents else nodes.withColumn("budget", budget)
+    # capacity by weight, in whole numbers: ``common`` is a multiple of every weight
+    by_weight = F.col("cap") * (F.lit(common) / F.col("weight")).cast("long")
     siblings = Window.partitionBy(*parents) if parents else Window.partitionBy(F.lit(0))
-    order = siblings.orderBy((F.col("cap") / F.col("weight")), "name")
+    order = siblings.orderBy(by_weight, "name")
     rows = rows.withColumn("caps", F.sum("cap").over(order.rowsBetween(Window.unboundedPreceding, -1))).withColumn("caps", F.coalesce("caps", F.lit(0).cast("long")))
     rows = rows.withColumn("weights", F.sum("weight").over(order.rowsBetween(0, Window.unboundedFollowing)))
     full = F.col("cap") * F.col("weights") <= F.col("weight") * (F.col("budget") - F.col("caps"))
@@ -71,64 +80,90 @@ def _filled(nodes: DataFrame, budget: DataFrame | Column, parents: list[str]) ->
     return rows.select(*parents, "name", (F.col("got") + extra).alias("budget"))
 
 
-def leaf_budgets(leaves: DataFrame, budget_percent: int = BUDGET_PERCENT, epochs: int = EPOCHS) -> DataFrame:
-    """(domain, lang, source, n, budget) from leaves (domain, lang, source, n tokens)."""
-    weight = F.lit(OTHER_WEIGHT)
-    for lang, w in LANGUAGE_WEIGHTS.items():
-        weight = F.when(F.col("name") == lang, w).otherwise(weight)
+def weight_of(level: str, weights: dict[str, dict[str, int]]) -> Column:
+    out = F.lit(OTHER_WEIGHT)
+    for name, w in weights.get(level, {}).items():
+        out = F.when(F.col("name") == name, w).otherwise(out)
+    return out.cast("long")
+
+
+def common_multiple(level: str, weights: dict[str, dict[str, int]]) -> int:
+    return math.lcm(OTHER_WEIGHT, *weights.get(level, {}).values())
+
+
+def leaf_budgets(leaves: DataFrame, budget_percent: int = BUDGET_PERCENT, epochs: int = EPOCHS, weights: dict[str, dict[str, int]] | None = None) -> DataFrame:
+    """(domain, lang, source, n, budget) from leaves (domain, lang, source, n tokens).
+
+    ``weights``: positive whole numbers by level and name; a name that is not there has OTHER_WEIGHT.
+    """
+    weights = WEIGHTS if weights is None else weights
     caps = leaves.select(*LEVELS, (F.col("n") * epochs).alias("cap"))
-    whole = F.expr(f"(sum(cap) over (partition by 1) div {epochs}) * {budget_percent} div 100")
-    domains = caps.groupBy(F.col("domain").alias("name")).agg(F.sum("cap").alias("cap")).withColumn("weight", F.lit(1).cast("long"))
-    budget = _filled(domains, whole, []).withColumnRenamed("name", "domain")
-    langs = caps.groupBy("domain", F.col("lang").alias("name")).agg(F.sum("cap").alias("cap")).withColumn("weight", weight.cast("long"))
-    budget = _filled(langs, budget, ["domain"]).withColumnRenamed("name", "lang")
-    sources = caps.select("domain", "lang", F.col("source").alias("name"), "cap").withColumn("weight", F.lit(1).cast("long"))
-    budget = _filled(sources, budget, ["domain", "lang"]).withColumnRenamed("name", "source")
+    budget: DataFrame | Column = F.expr(f"(sum(cap) over (partition by 1) div {epochs}) * {budget_percent} div 100")
+    for k, level in enumerate(LEVELS):
+        parents = list(LEVELS[:k])
+        nodes = caps.groupBy(*parents, F.col(level).alias("name")).agg(F.sum("cap").alias("cap")).withColumn("weight", weight_of(level, weights))
+        budget = _filled(nodes, budget, parents, common_multiple(level, weights)).withColumnRenamed("name", level)
     return leaves.join(budget, list(LEVELS))
 
 
-def epoch_cuts(docs: DataFrame, budget_percent: int = BUDGET_PERCENT, epochs: int = EPOCHS) -> DataFrame:
-    """(domain, lang, source, whole, cut_spot, cut_id, cut_tokens): each leaf takes ``whole`` full epochs, and of the next the documents before the cut and ``cut_tokens`` of the document at it."""
-    leaf = [F.col(f"__{c}").alias(c) for c in LEVELS]
-    rows = keyed(docs).select(*leaf, "doc_id", F.col("__tokens").alias("tokens"))
+def epoch_cuts(docs: DataFrame, budget_percent: int = BUDGET_PERCENT, epochs: int = EPOCHS, weights: dict[str, dict[str, int]] | None = None, seed: int = SEED) -> DataFrame:
+    """(domain, lang, source, whole, cut_spot, cut_id, cut_tokens): each leaf takes ``whole`` full epochs, and of the next the documents before the cut and ``cut_tokens`` of the document at it.
+
+    The range of hashes in which a leaf's prefix ends is refined once: sums over ranges of
+    three digits, then within the range met over three more, so what is ordered row by row
+    is one in 16 million of a leaf.
+    """
+    leaf = [F.col(OWN + c).alias(c) for c in LEVELS]
+    rows = keyed(docs).select(*leaf, F.col("doc_id"), F.col(OWN + "tokens").alias("tokens"))
     leaves = stage(rows.groupBy(*LEVELS).agg(F.sum("tokens").alias("n")).filter("n > 0"), "leaves")
-    plan = leaf_budgets(leaves, budget_percent, epochs)
+    plan = leaf_budgets(leaves, budget_percent, epochs, weights)
     plan = stage(plan.select(*LEVELS, F.expr("budget div n").alias("whole"), F.expr("budget % n").alias("part")), "budgets")
-    open_ = rows.join(plan.filter("part > 0"), list(LEVELS)).select(*LEVELS, "whole", "part", "doc_id", "tokens", spot(F.col("whole"), F.col("doc_id")).alias("spot"))
-    ranges = open_.groupBy(*LEVELS, "part", F.substring("spot", 1, 3).alias("range")).agg(F.sum("tokens").alias("sum"))
+    open_ = rows.join(plan.filter("part > 0"), list(LEVELS)).select(*LEVELS, "whole", "part", "doc_id", "tokens", spot(F.col("whole"), F.col("doc_id"), seed).alias("spot"))
+    near = open_.withColumn("before", F.lit(0).cast("long"))
     in_order = Window.partitionBy(*LEVELS).orderBy("range")
-    ranges = ranges.withColumn("upto", F.sum("sum").over(in_order))
-    met = ranges.filter("upto >= part and upto - sum < part").select(*LEVELS, "range", (F.col("upto") - F.col("sum")).alias("before"))
-    near = open_.join(met, [*LEVELS]).filter(F.substring("spot", 1, 3) == F.col("range"))
+    for digits in (3, 6):
+        ranges = near.groupBy(*LEVELS, "part", "before", F.substring("spot", 1, digits).alias("range")).agg(F.sum("tokens").alias("sum"))
+        ranges = ranges.withColumn("upto", F.col("before") + F.sum("sum").over(in_order))
+        met = stage(ranges.filter("upto >= part and upto - sum < part").select(*LEVELS, "range", (F.col("upto") - F.col("sum")).alias("before")), "met")
+        near = open_.join(met, [*LEVELS]).filter(F.substring("spot", 1, digits) == F.col("range")).drop("range")
     row_order = Window.partitionBy(*LEVELS).orderBy("spot", "doc_id", "tokens")
     near = near.withColumn("upto", F.col("before") + F.sum("tokens").over(row_order.rowsBetween(Window.unboundedPreceding, 0)))
     cut = near.filter("upto >= part and upto - tokens < part").select(*LEVELS, F.col("spot").alias("cut_spot"), F.col("doc_id").alias("cut_id"), (F.col("part") - F.col("upto") + F.col("tokens")).alias("cut_tokens"))
     return plan.select(*LEVELS, "whole").join(cut, list(LEVELS), "left")
 
 
-def mixed(docs: DataFrame, budget_percent: int = BUDGET_PERCENT, epochs: int = EPOCHS) -> DataFrame:
-    """``docs`` with what the mix takes of each row: ``epochs_taken`` whole epochs and ``tokens_taken`` in all.
+def _mixed(docs: DataFrame, budget_percent: int, epochs: int, weights: dict[str, dict[str, int]] | None, seed: int) -> DataFrame:
+    """``docs`` with what the mix takes, in columns whose names begin with OWN."""
+    cuts = stage(epoch_cuts(docs, budget_percent, epochs, weights, seed), "cuts")
+    cuts = cuts.select(*[F.col(c).alias(OWN + c) for c in LEVELS], F.col("whole").alias(OWN + "whole"), F.col("cut_spot").alias(OWN + "spot"), F.col("cut_tokens").alias(OWN + "cut"))
+    rows = keyed(docs).join(cuts, [OWN + c for c in LEVELS], "left")
+    of = lambda c: F.col(OWN + c)
+    own = spot(of("whole"), F.col("doc_id"), seed)
+    part = F.when(own < of("spot"), of("tokens")).when(own == of("spot"), F.least(of("cut"), of("tokens"))).otherwise(0)
+    whole = F.when(of("tokens") > 0, F.coalesce(of("whole"), F.lit(0))).otherwise(0)
+    taken = whole * of("tokens") + F.when(of("spot").isNull(), 0).otherwise(part)
+    return rows.select(*docs.columns, whole.cast("long").alias(OWN + "epochs_taken"), taken.cast("long").alias(OWN + "tokens_taken"), of("tokens"), of("domain"))
+
+
+def mixed(docs: DataFrame, budget_percent: int = BUDGET_PERCENT, epochs: int = EPOCHS, weights: dict[str, dict[str, int]] | None = None, seed: int = SEED) -> DataFrame:
+    """``docs`` with what the mix takes of each row: ``epochs_taken`` whole epochs and ``tokens_taken`` in all, with its ``tokens`` and ``domain``.
 
-    docs needs doc_id, text, lang and source; all its columns stay.  Null languages and
-    sources are leaves of their own; documents without tokens take no budget and are
-    taken in no epoch.  Rows with the same id share a spot, and of rows at a cut's spot the
-    one with fewer tokens comes first.  An empty table stays empty.
+    docs needs doc_id, text, lang and source; all its other columns stay, but columns that
+    have the names of these four results give way to them.  Null languages and sources are
+    leaves of their own; documents without tokens take no budget and are taken in no epoch.
+    Rows with the same id share a spot, and of rows at a cut's spot each takes what the cut
+    leaves to one of them.  An empty table stays empty.
     """
-    cuts = stage(epoch_cuts(docs, budget_percent, epochs), "cuts")
-    rows = keyed(docs).join(cuts.select(*[F.col(c).alias(f"__{c}") for c in LEVELS], F.col("whole").alias("__whole"), F.col("cut_spot").alias("__spot"), F.col("cut_tokens").alias("__cut")), [f"__{c}" for c in LEVELS], "left")
-    own = spot(F.col("__whole"), F.col("doc_id"))
-    part = F.when(own < F.col("__spot"), F.col("__tokens")).when(own == F.col("__spot"), F.least("__cut", "__tokens")).otherwise(0)
-    whole = F.when(F.col("__tokens") > 0, F.coalesce("__whole", F.lit(0))).otherwise(0)
-    taken = whole * F.col("__tokens") + F.when(F.col("__spot").isNull(), 0).otherwise(part)
-    return rows.select(*[docs[c] for c in docs.columns], whole.cast("long").alias("epochs_taken"), taken.cast("long").alias("tokens_taken"), F.col("__tokens").alias("tokens"), F.col("__domain").alias("domain"))
+    rows = _mixed(docs, budget_percent, epochs, weights, seed)
+    return rows.select(*[c for c in docs.columns if c not in TAKEN], *[F.col(OWN + c).alias(c) for c in TAKEN])
 
 
-def mixture(docs: DataFrame, budget_percent: int = BUDGET_PERCENT, epochs: int = EPOCHS) -> DataFrame:
-    """The documents of the mix, columns as they were: a row for each epoch that takes any of a document (whole texts)."""
-    rows = mixed(docs, budget_percent, epochs)
-    times = F.col("epochs_taken") + (F.col("tokens_taken") > F.col("epochs_taken") * F.col("tokens")).cast("long")
-    times = times.cast("int")
-    return rows.filter("tokens_taken > 0").withColumn("__time", F.explode(F.sequence(F.lit(1), times))).select(*docs.columns)
+def mixture(docs: DataFrame, budget_percent: int = BUDGET_PERCENT, epochs: int = EPOCHS, weights: dict[str, dict[str, int]] | None = None, seed: int = SEED) -> DataFrame:
+    """The documents of the mix, columns as they were whatever their names: a row for each epoch that takes any of a document (whole texts)."""
+    rows = _mixed(docs, budget_percent, epochs, weights, seed)
+    whole, taken = F.col(OWN + "epochs_taken"), F.col(OWN + "tokens_taken")
+    times = (whole + (taken > whole * F.col(OWN + "tokens")).cast("long")).cast("int")
+    return rows.filter(taken > 0).withColumn(OWN + "time", F.explode(F.sequence(F.lit(1), times))).select(*docs.columns)
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -137,17 +172,18 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _level_sql(name: str, parents: str, weight: str, budget: str) -> str:
+    common = common_multiple(name, WEIGHTS)
     on = f"using ({parents})" if parents else "on true"
     by = f"partition by {parents}" if parents else ""
     keys = f"{parents}, " if parents else ""
     group = f"{keys}{name}"
     return f"""{name}_0 as (select {group}, sum(n * {EPOCHS})::hugeint cap, {weight}::hugeint weight from leaves group by all),
 {name}_1 as (select c.*, b.budget, coalesce(sum(cap) over (w rows between unbounded preceding and 1 preceding), 0) caps, sum(weight) over (w rows between current row and unbounded following) weights
-  from {name}_0 c join {budget} b {on} window w as ({by} order by cap / weight, {name})),
-{name}_2 as (select *, min((cap * weights <= weight * (budget - caps))::int) over ({by} order by cap / weight, {name} rows between unbounded preceding and current row) = 1 f from {name}_1),
+  from {name}_0 c join {budget} b {on} window w as ({by} order by cap * ({common} // weight), {name})),
+{name}_2 as (select *, min((cap * weights <= weight * (budget - caps))::int) over ({by} order by cap * ({common} // weight), {name} rows between unbounded preceding and current row) = 1 f from {name}_1),
 {name}_3 as (select *, budget - coalesce(sum(case when f then cap end) over ({by}), 0) rest, sum(case when not f then weight end) over ({by}) open from {name}_2),
 {name}_4 as (select *, case when f then cap else rest * weight // open end got from {name}_3),
-{name}_5 as (select *, case when open is null then 0 else budget - sum(got) over ({by}) end remain, sum((cap > got)::int) over ({by} order by cap / weight, {name} rows between unbounded preceding and current row) room from {name}_4),
+{name}_5 as (select *, case when open is null then 0 else budget - sum(got) over ({by}) end remain, sum((cap > got)::int) over ({by} order by cap * ({common} // weight), {name} rows between unbounded preceding and current row) room from {name}_4),
 {name}_b as (select {group}, got + case when cap > got and room <= remain then 1 else 0 end budget from {name}_5)"""
 
 
