@@ -545,10 +545,32 @@ def _frequent_elements(sets: DataFrame, ranges: int):
     return spark.sparkContext.broadcast((keys[order], df[order]))
 
 
+#: From here on stand the numbers of rows without an id, by a hash of their texts.
+NO_ID = 1 << 62
+
+
 def near_duplicate_filter(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the documents whose component has a smaller id; all columns stay, as do rows with a null id."""
-    spare = jaccard_components(docs, id_col, text_col).filter("doc_id <> component_id").select(F.col("doc_id").alias("__spare")).distinct()
-    return docs.join(stage(spare, "spare"), docs[id_col] == F.col("__spare"), "left_anti")
+    """``docs`` with one document of each component: that of the smallest id; all columns stay.
+
+    A row without an id comes after all that have one; of those with equal texts one stays.
+    Rows that repeat an id and a text are one row (the least by its columns).  Texts without
+    words are no duplicates of anything: all of their rows stay.  No rows: no rows.
+    """
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    key = F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID) + F.pmod(F.xxhash64(text), F.lit(1 << 61)))
+    found = jaccard_components(docs.select(key.alias("key"), text.alias("text")), "key", "text")
+    found = stage(found.filter("n_shingles > 0").groupBy("doc_id", "component_id").agg(F.count("*").alias("n")), "components")
+    spare = stage(found.filter("doc_id <> component_id").select(F.col("doc_id").alias("__spare")).distinct(), "spare")
+    twice = stage(found.filter("doc_id = component_id and n > 1").select(F.col("doc_id").alias("__spare")).distinct(), "repeated")
+    dropped(found)
+    worded = text.rlike(r"[^\x20\x09-\x0D]")
+    rows = docs.withColumn("__key", F.when(worded, key))
+    rows = rows.join(spare, F.col("__key") == F.col("__spare"), "left_anti")
+    if not twice.limit(1).count():
+        return rows.select(*docs.columns)
+    once = rows.join(twice, F.col("__key") == F.col("__spare"), "left_anti").select(*docs.columns)
+    again = rows.join(twice, F.col("__key") == F.col("__spare"), "left_semi").groupBy("__key", F.xxhash64(text).alias("__text")).agg(F.min(F.struct(*docs.columns)).alias("__row"))
+    return once.unionByName(again.select("__row.*").select(*docs.columns))
 
 
 def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

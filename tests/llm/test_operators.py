@@ -97,16 +97,55 @@ def base_pii(text):
 def test_pii(spark, docs, empty):
     r = random.Random(3)
     hard = ["".join(r.choice("ab@.1 -+()59") for _ in range(r.randint(0, 60))) for _ in range(400)] + ["a" * 3000, "1" * 3000, "1." * 2000, "a@" * 2000, "@b.c_d@e.f"]
+    hard += ["tel 06 12 34 56 78 or 612 34 56 78, 030 1234567 und 0171/1234567", "on 2024-01-15 and 12.05.1999, pages 100-200 of 1990-1995", "iban DE89 3704 0044 0532 0130 00", "fax 555-0188 " * 50, "a@b.co 06 12 34 56 78 " * 40]
     texts = [*TEXTS, *hard]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {x.doc_id: x for x in pii.personal_spans(df).collect()}
     for i, text in enumerate(texts):
         assert [(s.kind, s.start, s.end) for s in got[i].base] == base_pii(text or ""), text
+        want, taken = brute_added(text or "", base_pii(text or ""))
+        assert ([(s.kind, s.start, s.end) for s in got[i].added], got[i].n_selected) == (want, taken), text
     added = {texts[i][s.start : s.end] for i in range(len(TEXTS)) for s in got[i].added}
     assert added == {"(212) 555-0188", "123-45-6789"}
+    told = {x.doc_id: x.text for x in pii.redacted(pii.personal_spans(df)).collect()}
+    assert told[14] == "call [local_phone] now, ssn [local_phone]" and told[0] == "" and told[5] == TEXTS[5]
+    assert told[10].startswith("mail [email], [ip] and 300.1.1.1 or [card]; [phone] x@[email]")
     assert pii.personal_spans(empty).count() == 0
 
 
+def brute_added(text, base):
+    """What the trees take of every candidate, and the number of all they take, by plain loops."""
+    trees, cuts = pii.model()
+    out, taken = [], 0
+    for rank, (kind, pattern) in enumerate(pii.GENERATORS.items()):
+        last = 0
+        for m in re.finditer(pattern.replace(r"\x20", " "), text, re.ASCII):
+            before, last = text[last : m.start()][-pii.CONTEXT :], m.end()
+            if kind == "local_phone" and not 6 <= len(re.sub("[^0-9]", "", m[0])) <= 14:
+                continue
+            if sum(pii._walk(t, pii.python_features(m[0], before)) for t in trees) >= cuts[kind]:
+                taken += 1
+                if not any(m.start() < e and s < m.end() for _, s, e in base):
+                    out.append((m.start(), rank, kind, m.end()))
+    return [(k, s, e) for s, _, k, e in sorted(out)], taken
+
+
+def test_pii_precision():
+    """On samples of another seed the selected candidates are personal data, and nearly all of it is proposed and selected."""
+    trees, cuts = pii.model()
+    for kind in pii.GENERATORS:
+        own = [(sum(pii._walk(t, pii.python_features(s, b)) for t in trees) >= cuts[kind], y) for k, s, b, y in pii.labelled_samples(1600, 77) if k == kind]
+        hit = sum(a and y for a, y in own)
+        assert hit >= pii.PRECISION * sum(a for a, _ in own) and hit >= 0.9 * sum(y for _, y in own), kind
+    assert all(re.search(pii.GENERATORS[k].replace(r"\x20", " "), b + s) for k, s, b, y in pii.labelled_samples(1600, 78) if y)
+
+
+def test_running_sums(spark):
+    for n in (0, 1, 2, 3, 10, 101):
+        row = spark.range(1).select(pii.running(pii.F.sequence(pii.F.lit(1), pii.F.lit(n)) if n else pii.F.array().cast("array<int>"), pii.F.lit(0), lambda a, b: a + b, "int").alias("x")).first()
+        assert row.x == [k * (k + 1) // 2 for k in range(n)]
+
+
 def test_pii_features_agree(spark):
     samples = pii.labelled_samples(200)
     df = spark.createDataFrame([(i, s, b) for i, (_, s, b, _) in enumerate(samples)], "i int, s string, b string")
@@ -126,6 +165,52 @@ def test_quality(spark, docs, empty):
     assert {x.score for x in quality.quality_scores(df, labels.limit(0)).collect()} == {0.5}
 
 
+def test_trees_one_by_one():
+    """Vectorised scores are those of walking each tree by hand."""
+    r = np.random.default_rng(3)
+    x = r.normal(size=(300, len(quality.FEATURES)))
+    y = (x[:, 0] + x[:, 3] * x[:, 5] > 0.2).astype(float)
+    trees = quality.fit(x, y)
+    for row, score in zip(x[:50], trees.score(x[:50]), strict=True):
+        total = trees.base
+        for node in trees.roots:
+            while trees.feature[node] >= 0:
+                node = trees.left[node] + int(row[trees.feature[node]] > trees.cut[node])
+            total += trees.value[node]
+        assert abs(1 / (1 + np.exp(-total)) - score) < 1e-12
+    assert ((trees.score(x) > 0.5) == (y > 0.5)).mean() > 0.97
+
+
+def test_quality_statistics():
+    """Statistics against plain string functions."""
+    from impactlake.llm.textvec import utf8_arrays
+    import pyarrow as pa
+
+    texts = ["", "One  two two Äb!\n", "### $$$ 12.5 ABC", "ein ein ein"]
+    for text, row in zip(texts, quality.statistics(*utf8_arrays(pa.array(texts))), strict=True):
+        raw, w = text.encode(), re.findall(rb"[^ \t\n\x0b\x0c\r]+", text.encode())
+        n, many = max(len(raw), 1), max(len(w), 1)
+        of = dict(zip(quality.FEATURES, row, strict=True))
+        lower = [x.lower() for x in w]
+        assert of["log_bytes"] == pytest.approx(np.log1p(len(raw))) and of["log_words"] == pytest.approx(np.log1p(len(w)))
+        assert of["upper"] == pytest.approx(sum(65 <= c <= 90 for c in raw) / n) and of["digit"] == pytest.approx(sum(48 <= c <= 57 for c in raw) / n)
+        assert of["distinct_words"] == pytest.approx(len(set(lower)) / many) and of["same_as_before"] == pytest.approx(sum(a == b for a, b in zip(lower, lower[1:], strict=False)) / many)
+        assert of["non_ascii"] == pytest.approx(sum(c >= 128 for c in raw) / n)
+
+
+def test_good_documents(spark):
+    """Documents that look like those labelled bad go, whole rows with any columns stay; the bound on rows holds the labels nearest to it."""
+    r = random.Random(1)
+    good = lambda: " ".join(r.choice(["the", "word", "is", "good", "and", "text"]) for _ in range(50))
+    rows = [(i, good() if i % 2 else "### $$$ !!! " * 10, 0.5, i) for i in range(400)] + [(None, good(), 0.1, 7), (3, good(), 0.2, 8)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, score double, y long")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(400)], "doc_id long, quality int")
+    kept = quality.good_documents(df, labels)
+    assert kept.columns == df.columns and sorted((x.doc_id or -1, x.y) for x in kept.collect()) == sorted([(i, i) for i in range(400) if i % 2] + [(-1, 7), (3, 8)])
+    few = quality.fitted(df, labels, 40)
+    assert len(few.roots) == quality.TREES
+
+
 def test_mixing(spark, docs, empty):
     r = random.Random(2)
     rows = [(i, " ".join(["w"] * r.randint(0, 30)), r.choice(["en", "de", None]), f"s{r.randint(0, 6)}") for i in range(500)]
@@ -137,6 +222,64 @@ def test_mixing(spark, docs, empty):
     assert mixing.mixed(docs).count() == len(TEXTS) and mixing.mixed(empty).count() == 0
 
 
+def water(nodes, budget):
+    """Tokens of each (name, weight, cap), one at a time: to whoever has least for its weight and has room; ties by what rounding gives."""
+    total = min(budget, sum(c for _, _, c in nodes))
+    full = set()
+    while True:
+        rest = total - sum(c for n, _, c in nodes if n in full)
+        open_ = sum(w for n, w, _ in nodes if n not in full)
+        new = {n for n, w, c in nodes if n not in full and c * open_ <= w * rest}
+        if not new:
+            break
+        full |= new
+    got = {n: c if n in full else rest * w // open_ for n, w, c in nodes}
+    left = total - sum(got.values())
+    common = np.lcm.reduce([w for _, w, _ in nodes])
+    for n, w, c in sorted(nodes, key=lambda x: (x[2] * (common // x[1]), x[0])):
+        if left and got[n] < c:
+            got[n], left = got[n] + 1, left - 1
+    return got
+
+
+def test_budgets(spark):
+    r = random.Random(5)
+    leaves = [(d, lang, s, r.choice([1, 7, 50, 400, 3000])) for d in ("d0", "d1") for lang in ("en", "de", "xx") for s in ("a", "b", "c") if r.random() < 0.8]
+    weights = {"domain": {"d0": 3, "d1": 5}, "lang": {"en": 4, "de": 3}, "source": {"b": 7}}
+    got = {(x.domain, x.lang, x.source): x.budget for x in mixing.leaf_budgets(spark.createDataFrame(leaves, "domain string, lang string, source string, n long"), 70, 2, weights).collect()}
+
+    def down(rows, level, budget, path):
+        name = mixing.LEVELS[level]
+        caps = {}
+        for row in rows:
+            caps[row[level]] = caps.get(row[level], 0) + 2 * row[3]
+        own = water([(k, weights[name].get(k, 1), c) for k, c in caps.items()], budget)
+        for k, b in own.items():
+            if level == 2:
+                assert got[(*path, k)] == b, (path, k)
+            else:
+                down([row for row in rows if row[level] == k], level + 1, b, (*path, k))
+
+    down(leaves, 0, sum(x[3] for x in leaves) * 70 // 100, ())
+
+
+def test_mixture_keeps_columns(spark):
+    """A row for each epoch that takes any of a document, whatever its columns are called."""
+    rows = [(i, "w " * (i % 9), "en", f"s{i % 3}", i, "x", 1) for i in range(60)] + [(None, "a b", None, None, 0, "x", 1), (3, "w w w", "en", "s0", 3, "x", 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, tokens long, domain string, epochs_taken int")
+    taken = {}
+    for x in mixing._mixed(df, 80, 2, None, mixing.SEED).collect():
+        whole, some, own = x["__mix_epochs_taken"], x["__mix_tokens_taken"], x["__mix_tokens"]
+        taken[x.doc_id, x.text] = taken.get((x.doc_id, x.text), 0) + whole + (some > whole * own)
+    out = mixing.mixture(df)
+    assert out.columns == df.columns
+    got = {}
+    for x in out.collect():
+        got[x.doc_id, x.text] = got.get((x.doc_id, x.text), 0) + 1
+    assert got == {k: v for k, v in taken.items() if v}
+    assert mixing.mixed(df).columns == ["doc_id", "text", "lang", "source", *mixing.TAKEN]
+
+
 def test_gif(spark, docs, empty):
     got = {r.doc_id: r for r in gif.media_digest(gif.stored_texts(docs)).collect()}
     for i, text in enumerate(TEXTS):
@@ -403,6 +546,61 @@ def test_jaccard(spark, empty):
     assert jaccard_join.jaccard_components(empty).count() == 0
 
 
+def test_jaccard_with_few_frequent_elements(spark, monkeypatch):
+    """With hardly any frequent element known, long lists are met by their length; links stay the same."""
+    r = random.Random(9)
+    monkeypatch.setattr(jaccard_join, "FREQUENT_BOUND", 3)
+    texts = []
+    for k in range(3):
+        base = [f"g{k}t{i}" for i in range(60)]
+        for _ in range(80):
+            own = list(base)
+            for _ in range(r.randint(0, 3)):
+                own[r.randrange(len(own))] = f"u{r.randrange(10**6)}"
+            texts.append(" ".join(own))
+    texts += [" ".join([*(f"p{i}" for i in range(40)), *(f"v{r.randrange(10**6)}" for _ in range(40))]) for _ in range(90)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {x.doc_id: (x.n_shingles, x.component_id) for x in jaccard_join.jaccard_components(df).collect()}
+    assert [got[i] for i in range(len(texts))] == components(texts)
+
+
+def test_near_duplicate_filter(spark, empty):
+    """One row of each component stays: repeated ids, rows without ids and texts without words included."""
+    a, b = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(40))
+    rows = [(5, a, 0), (2, a + " end", 1), (2, a + " end", 2), (None, a, 3), (None, b, 4), (None, b, 5), (9, "", 6), (9, "", 7), (None, None, 8), (10, "alone", 9), (7, b + " x y z u v w q r s t k l m n", 10)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, n long")
+    got = jaccard_join.near_duplicate_filter(df)
+    assert got.columns == df.columns and sorted(x.n for x in got.collect()) == [1, 4, 6, 7, 8, 9, 10]
+    assert jaccard_join.near_duplicate_filter(empty).count() == 0
+
+
+def test_pipeline(spark, tmp_path):
+    """Every stage keeps the columns of documents and does its work on what is left; hard rows go through."""
+    import corpus_pipeline
+
+    r = random.Random(4)
+    word = lambda: r.choice(["the", "word", "is", "good", "and", "text", "of", "a"]) + str(r.randrange(300))
+    clean = [" ".join(word() for _ in range(60)) for _ in range(300)]
+    item = " ".join(f"q{i}" for i in range(20))
+    texts = clean + [clean[0], clean[1] + " more", clean[2] + " " + item] + ["### $$$ !!! " * 10] * 40 + [None, "", LONG]
+    rows = [(i, t, r.choice(["en", "de", None]), f"s{i % 5}", len(t or "")) for i, t in enumerate(texts)] + [(None, clean[5], "en", "s1", 1), (7, clean[7], "de", "s2", 1)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, int(i < 303)) for i in range(343)], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, item), (2, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    columns, ids = docs.columns, {}
+    for name, step in corpus_pipeline.STAGES[:-1]:
+        docs = corpus_pipeline.stage(step(spark, docs, str(tmp_path)), name)
+        assert docs.columns == columns, name
+        ids[name] = [x.doc_id for x in docs.select("doc_id").collect()]
+    assert not set(range(303, 343)) & set(ids["quality"]) and set(range(303)) <= set(ids["quality"])
+    assert not {300, 301} & set(ids["near_duplicates"]) and None not in ids["near_duplicates"] and ids["near_duplicates"].count(7) == 1
+    assert set(ids["near_duplicates"]) - set(ids["decontamination"]) == {302}
+    assert set(ids["mixing"]) <= set(ids["decontamination"])
+    out = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert sorted(x.doc_id for x in out) == sorted(ids["mixing"]) and sum(x.n_tokens for x in out) > 0
+
+
 def test_shared_dir_is_the_clusters():
     from types import SimpleNamespace
 
