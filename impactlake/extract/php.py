@@ -775,7 +775,7 @@ class Php:
         if not isinstance(slug, str) or slug in ("", "{*}"):
             return
         sub, known = name == "add_submenu_page", "{*}" not in slug
-        place = 5 if sub else 4
+        place = 4 if sub else 3
         lost = {} if known else {"unresolved": self.lacking(span[0], slug=args[place] if place < len(args) else None)}
         self.put("admin-page-register", span, [(f"wp-admin-page:{slug}", "subject")], {"slug": slug, "fn": "add_submenu_page" if sub else "add_menu_page"} | lost, known)
         callback = self._callback(args[5] if len(args) > 5 else None)

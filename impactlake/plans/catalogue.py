@@ -14,7 +14,7 @@ from ..operators import lookup
 from ..operators.match import partners
 from ..operators.traverse import dependencies, derive
 from ..sources import projection as G
-from . import extract_queries, resolver_queries, scalar_queries, store_queries  # noqa: F401  (they register their queries)
+from . import extract_queries, resolver_queries, scalar_queries, store_queries, walk_queries  # noqa: F401  (they register their queries)
 from .registry import ORACLES, QUERIES, query
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
