@@ -41,8 +41,9 @@ def evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("c", P.evidence_confidence(F.col("kind"), F.lit("exact"), F.col("l_linenumber"), F.lit(True)))
 
 
-def edge_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    src = G.source_files(G.table(spark, sf_dir, "part")).filter("not vendor").select(F.col("file_id").alias("l_partkey"), F.col("path").alias("source"))
+def edge_table(spark: SparkSession, sf_dir: str, asked: DataFrame | None = None) -> DataFrame:
+    """The edges of all tests to the parts that are asked (rows of part), or to all."""
+    src = G.source_files(G.table(spark, sf_dir, "part") if asked is None else asked).filter("not vendor").select(F.col("file_id").alias("l_partkey"), F.col("path").alias("source"))
     t = G.tests(spark, sf_dir).select("test_id", (F.col("fact_id") - G.TEST_FACTS).alias("l_orderkey"))
     rows = evidence(spark, sf_dir).join(src, "l_partkey").join(t, "l_orderkey")
     # products in one order, so that their last bits do not depend on how rows are dealt
@@ -57,7 +58,7 @@ CLASS = "(case framework when 'playwright' then 'e2e' else 'unit' end) framework
 @query(f"select test_id, source, framework, {CLASS}, round(confidence, 6) confidence, partial from ({EDGES}) where framework = 'jest' and confidence >= 0.7 and source in (select path from ({SRC}) where p_size = 7)")
 def tests_from_sources(spark, sf_dir):
     paths = G.table(spark, sf_dir, "part").filter("p_size = 7")
-    rows, _ = lookup.tests_from_sources(edge_table(spark, sf_dir), G.tests(spark, sf_dir), G.files(spark, sf_dir), G.source_files(paths).select("path"), "jest", 0.7)
+    rows, _ = lookup.tests_from_sources(edge_table(spark, sf_dir, paths), G.tests(spark, sf_dir), G.files(spark, sf_dir), G.source_files(paths).select("path"), "jest", 0.7)
     return rows.withColumn("confidence", F.round("confidence", 6))
 
 
