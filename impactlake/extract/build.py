@@ -18,7 +18,7 @@ from ..functions.scalars import is_asset, is_node_builtin, normalise_path
 from ..operators.stages import stage
 from ..operators.store import last_of, numbered
 from .patterns import PHP_PATTERNS, SCRIPT_PATTERNS, Matcher, Pattern
-from .php import TEST_BASES, Php
+from .php import TEST_BASES, Php, wrapped_fact
 from .script import Fact, Script
 from .tokens import LexError
 
@@ -124,6 +124,47 @@ def with_modules(raw: DataFrame, modules: DataFrame) -> DataFrame:
     return kept.select("path", "n", "kind", "resolved", "start_line", "end_line", "anchors", "payload", "specifier", "resolved_path", "builtin", "asset")
 
 
+def _synthesized(patterns: list[Pattern]):
+    known: dict[str, list[Pattern]] = {}
+    for p in patterns:
+        if p.lang == "php" and p.node == "function-call":
+            known.setdefault(p.name, []).append(p)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for row in batch.to_pylist():
+                call, wrapper = json.loads(row["call"]), json.loads(row["wrapper"])
+                for p in known.get(wrapper["wraps"], ()):
+                    fact = wrapped_fact(p, wrapper["argSpecs"], call, call["callee"], (row["start_line"], row["end_line"]))
+                    if fact is not None:
+                        rows.append((row["path"], row["n"], fact.kind, fact.resolved, fact.start_line, fact.end_line, [{"key": k, "role": r} for k, r in fact.anchors], json.dumps(fact.payload, ensure_ascii=False)))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True), _ARROW, strict=True)], schema=_ARROW)
+
+    return run
+
+
+WRAPPER_ROWS = ("wrapper-def", "wrapper-call")
+
+
+def wrapper_index(raw: DataFrame, configured: list[dict] = ()) -> DataFrame:
+    """(name, class, source, wrapper) of all wrappers that were found, and of those configured, which come in place of found ones of their name."""
+    found = raw.filter("kind = 'wrapper-def'").select(*[F.get_json_object("payload", f"$.{c}").alias(c) for c in ("name", "class", "source")], F.col("payload").alias("wrapper")).distinct()
+    own = [(w["name"], None, "config", json.dumps({"wraps": w["wraps"], "argSpecs": w["argSpecs"]})) for w in configured]
+    listed = raw.sparkSession.createDataFrame(own, "name string, class string, source string, wrapper string")
+    return found.join(listed.select("name"), "name", "left_anti").unionByName(listed)
+
+
+def wrapped_calls(raw: DataFrame, wrappers: DataFrame, extra: list[Pattern] = ()) -> DataFrame:
+    """RAW facts of calls of wrappers: functions by name, methods of ``$this`` and of a named class by class, others by name alone."""
+    field = lambda c: F.get_json_object("payload", f"$.{c}")
+    calls = raw.filter("kind = 'wrapper-call'").select("path", "n", "start_line", "end_line", field("callee").alias("name"), field("shape").alias("shape"), field("class").alias("of"), F.col("payload").alias("call"))
+    met = calls.join(wrappers, "name").filter("(shape = 'function') = (class is null) and (shape in ('function', 'method-instance') or of is null or of = class)")
+    rows = met.select("path", (F.col("n") + 2_000_000).alias("n"), "start_line", "end_line", "call", "wrapper")
+    return rows.mapInArrow(_synthesized([*PHP_PATTERNS, *extra]), RAW)
+
+
 def ajax_listeners(raw: DataFrame) -> DataFrame:
     """RAW facts of the listeners that hooks ``wp_ajax_...`` and ``wp_ajax_nopriv_...`` stand for."""
     hook = F.get_json_object("payload", "$.hook")
@@ -138,7 +179,7 @@ def ajax_listeners(raw: DataFrame) -> DataFrame:
 _PAYLOAD = "name string, type_only boolean, mocked boolean, dynamic boolean, hook string, target string, framework string, testId string, meta struct<callable:boolean,resolvedBy:string,scopeRanges:array<struct<startLine:int,endLine:int>>>"
 
 
-def graph(files: DataFrame, aliases: list[tuple[str, list[str]]] = (), extra: list[Pattern] = (), test_bases: tuple[str, ...] = TEST_BASES) -> dict[str, DataFrame]:
+def graph(files: DataFrame, aliases: list[tuple[str, list[str]]] = (), extra: list[Pattern] = (), test_bases: tuple[str, ...] = TEST_BASES, wrappers: list[dict] = ()) -> dict[str, DataFrame]:
     """The tables files, facts, links and tests of files (path, text, language, framework, framework_class, vendor).
 
     Ids are numbers in the order of paths and of facts in a file.  Of tests with the same id
@@ -146,6 +187,7 @@ def graph(files: DataFrame, aliases: list[tuple[str, list[str]]] = (), extra: li
     """
     listed = stage(numbered(files.select("path", "language", "framework", "framework_class", "vendor", F.sha1("text").alias("content_hash")), ["path"], "file_id"), "files")
     raw = stage(raw_facts(files, extra, test_bases), "raw-facts")
+    raw = raw.filter(~F.col("kind").isin(*WRAPPER_ROWS)).unionByName(wrapped_calls(raw, wrapper_index(raw, wrappers), extra))
     raw = raw.unionByName(ajax_listeners(raw))
     modules = stage(resolved_modules(raw.select("path", F.get_json_object("payload", "$.specifier").alias("specifier")).filter("specifier is not null"), files, aliases), "modules")
     placed = numbered(with_modules(raw, modules), ["path", "n"], "fact_id")

@@ -143,6 +143,42 @@ def without_params(route: str) -> str:
     return "".join(out) + route[at:]
 
 
+def wrapped_fact(p: Pattern, specs: list[dict], call: dict, name: str, lines: tuple[int, int]) -> Fact | None:
+    """The fact that a call of a wrapper makes: the pattern's, on the values that the wrapper hands on."""
+
+    def handed(k: int) -> object:
+        spec = specs[k] if k < len(specs) else {}
+        if spec.get("kind") == "param":
+            i = spec["wrapperParamIdx"]
+            return call["args"][i] if i < len(call["args"]) else None
+        return spec.get("value")
+
+    fields, failed, known = {}, [], True
+    for key, bind in p.bind.items():
+        value = handed(bind.arg)
+        value = value if isinstance(value, str) and bind.type in ("string", "callable", "path-literal") or isinstance(value, int) and bind.type == "int" else None
+        if (value is None or has_wildcard(value)) and not bind.optional:
+            known = False
+            failed.append({"field": key, "expression": value or ""})
+        if value is not None:
+            fields[key] = value
+    anchors, template = [], p.template
+    if p.transform == "rest-route":
+        body = without_params(joined_route(fields.get("namespace", "{*}"), fields.get("route", "{*}")))
+        anchors, template, fields = [(f"rest:GET {body}", "subject")], None, fields | {"method": "GET"}
+    elif p.transform == "enqueue-src" and re.search(r"(?i)\.(?:mjs|cjs|jsx|tsx|ts|js)$", fields.get("src", "")) and not has_wildcard(fields["src"]):
+        fields["srcPath"] = normal_include(fields["src"].lstrip("/"))
+        anchors = [(f"js-module:{fields['srcPath']}", "target")]
+    elif p.transform == "admin-page-slug" and fields.get("slug") in (None, "", "{*}"):
+        return None
+    if template is not None:
+        key = rendered(template, fields)
+        known &= key is not None
+        anchors = [*([(key, p.role)] if key else []), *anchors]
+    extra = {"unresolved": unresolved(call["scope"], failed)} if not known and failed else {}
+    return Fact(p.emit, *lines, anchors, fields | {"meta": {"resolvedBy": "wrapper-auto", "wrapperName": name}} | extra, known)
+
+
 class Php:
     def __init__(self, text: str, path: str, patterns: list[Pattern], test_bases: tuple[str, ...] = TEST_BASES):
         self.t, self.path, self.bases = PhpTokens(text), path, test_bases
@@ -611,11 +647,73 @@ class Php:
                 self._patterns("method-call", i, i + 3, name, self.t.text[i][1:])
                 if self.t.text[i] == "$this" and holder in test_classes:
                     self.use(f"{holder}::{name}", (i, self.t.match[i + 3]))
+        self.wrapper_rows()
         return self.out
 
     def doc(self, i: int) -> str:
         return self.t.docs.get(i, "")
 
+    # --- wrappers ----------------------------------------------------------------------------------
+
+    @cached_property
+    def wrappers(self) -> list[tuple[tuple, str, list[dict]]]:
+        """(function, pattern callee, what each argument is) of functions that hand a parameter on to a call that patterns know.
+
+        The call is a statement of the body, or of a closure that the body gives to
+        ``add_action`` and that uses the parameter.
+        """
+        out = []
+        for k, f in enumerate(self.functions):
+            first, at, last, brace, name, what = f
+            if brace is None or name is None or what == "closure":
+                continue
+            params = {self.t.text[i]: n for n, (a, b) in enumerate(self.items(next(i for i in range(at, brace) if self.is_(i, "(")))) for i in range(a, b + 1) if self.t.kind[i] == "var"}
+            local = {self.t.text[i]: (i + 2, self._part_end(i + 2)) for i in range(brace + 1, last) if self.t.kind[i] == "var" and self.is_(i + 1, "=") and self.is_(i - 1, ";", "{", "}") and self.function_at(i) == k}
+            for i in range(brace + 1, last):
+                if self.t.kind[i] != "name" or self.t.text[i] not in self.patterns or not self.is_(i + 1, "(") or not self.is_(i - 1, ";", "{", "}"):
+                    continue
+                inner = self.function_at(i)
+                known = params
+                if inner != k:
+                    closure = self.functions[inner]
+                    outer = next((x for x in range(closure[0], brace, -1) if self.is_(x, "add_action") and self.is_(x + 1, "(")), None)
+                    if closure[5] != "closure" or outer is None or self.t.match[outer + 1] < closure[2] or self.function_at(closure[0]) != k or closure[3] is None:
+                        continue
+                    listed = {self.t.text[x] for x in range(closure[1], closure[3]) if self.t.kind[x] == "var"}
+                    known = {v: n for v, n in params.items() if v in listed}
+                specs = []
+                for a, b in self.items(i + 1):
+                    a, b = local.get(self.t.text[a], (a, b)) if a == b and self.t.kind[a] == "var" and self.t.text[a] not in known else (a, b)
+                    value = self.skeleton((a, b))
+                    if a == b and self.t.text[a] in known:
+                        specs.append({"kind": "param", "wrapperParamIdx": known[self.t.text[a]]})
+                    elif value is not None:
+                        specs.append({"kind": "fixed", "value": value})
+                    else:
+                        specs.append({"kind": "unresolved"})
+                if any(s["kind"] == "param" for s in specs):
+                    out.append((f, self.t.text[i], specs))
+        return out
+
+    def wrapper_rows(self) -> None:
+        """Rows of wrappers and of calls that may be of one; what they make is found when all files are read."""
+        for f, wraps, specs in self.wrappers:
+            holder = self.class_at(f[1]) if f[5] == "method" else None
+            self.put("wrapper-def", (f[0], f[2]), [], {"name": f[4], "class": holder, "wraps": wraps, "argSpecs": specs, "source": "auto"})
+        for i in range(self.n):
+            if self.t.kind[i] != "name" or not self.is_(i + 1, "(") or self.t.text[i].lower() in _CONTROL or self.t.text[i] in self.patterns or self.is_(i - 1, "function", "new"):
+                continue
+            shape, holder, first = "function", None, i
+            if self.is_(i - 1, "->", "?->"):
+                own = self.t.text[i - 2] == "$this" and self.class_at(i) is not None
+                shape, holder, first = ("method-this", self.class_at(i), i - 2) if own else ("method-instance", None, i - 2)
+            elif self.is_(i - 1, "::"):
+                raw = self.t.text[i - 2]
+                shape, first = "static-method", i - 2
+                holder = self.class_at(i) if raw.lower() in ("self", "static") else self.class_name(raw, i) if self.t.kind[i - 2] == "name" else None
+            args = [self.skeleton(x) for x in self.items(i + 1)]
+            self.put("wrapper-call", (first, self.t.match[i + 1]), [], {"callee": self.t.text[i], "shape": shape, "class": holder, "args": args, "scope": self.scope(i)})
+
     def _include(self, i: int) -> None:
         last = i + 1
         while last < self.n and not self.is_(last, ";", ")", ",", "]", "}", "or", "and"):
@@ -653,6 +751,9 @@ class Php:
             self.use(self.function_name(raw, i), (i, self.t.match[i + 1]))
 
     def _patterns(self, node: str, first: int, open_: int | None, name: str, receiver: str | None) -> None:
+        # what a wrapper hands on is known where it is called
+        if name in self.patterns and any(f[3] < first < f[2] for f, _, _ in self.wrappers):
+            return
         for p in self.patterns.get(name, ()):
             if p.node == node and (p.receiver is None or p.receiver == receiver):
                 self._apply(p, first, open_, name)

@@ -9,6 +9,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..extract import build as B
+from ..operators import report as R
 from ..operators.traverse import derive
 from ..sources import projection as G
 from .registry import ORACLES, QUERIES, query
@@ -199,6 +200,32 @@ def ajax_listeners(spark, sf_dir):
     return rows.select("path", (2 * order - 1).cast("int").alias("n"), F.get_json_object("payload", "$.action").alias("action"), F.get_json_object("payload", "$.callback").alias("callback"))
 
 
+_WRAPS = """<?php
+namespace W;
+function on_saved( $name, $cb ) { $full = 'saved_@@'; add_action( $name, $cb ); do_action( $full ); }
+function later( $hook ) { add_action( 'init', function () use ( $hook ) { do_action( $hook ); } ); }
+class Page { public function menu( $slug ) { add_menu_page( 't', 'm', 'c', $slug ); } public function all() { $this->menu( 'own_@@' ); } }
+function plain() { do_action( 'plain_@@' ); }
+"""
+_CALLS = """<?php
+on_saved( 'one_@@', 'f' ); later( "two_@@_$x" ); on_saved( $z, 'g' ); $page->menu( 'three' ); Other::menu( 'four' ); plain();
+"""
+
+
+@query("""select 'p' || p_partkey || case k when 1 then '/w.php' else '/c.php' end path, kind, resolved, replace(keys, '@@', p_partkey::varchar) as keys, wrapper from part,
+(values (2, 'hook-listener', true, 'hook:one_@@', 'on_saved'), (2, 'hook-fire', false, 'hook:two_@@_{*}', 'later'), (2, 'hook-listener', false, '', 'on_saved'), (2, 'admin-page-register', true, 'wp-admin-page:three', 'menu'),
+(1, 'admin-page-register', true, 'wp-admin-page:own_@@', 'menu'), (1, 'hook-fire', true, 'hook:plain_@@', null)) t(k, kind, resolved, keys, wrapper)""")
+def php_wrappers(spark, sf_dir):
+    """Functions that hand a parameter on, and what their calls make; within a wrapper patterns make nothing."""
+    texts = _texts(spark, sf_dir, [("p@@/w.php", "php", None, _WRAPS), ("p@@/c.php", "php", None, _CALLS)])
+    raw = B.raw_facts(texts)
+    # each part's files are a project of its own here, so wrappers meet calls of their part
+    own = raw.withColumn("payload", F.when(F.col("kind").isin(*B.WRAPPER_ROWS), F.regexp_replace("payload", '"(name|callee)": "', F.concat(F.lit('"$1": "'), F.regexp_extract("path", "^p[0-9]+", 0), F.lit("|")))).otherwise(F.col("payload")))
+    rows = raw.unionByName(B.wrapped_calls(own, B.wrapper_index(own))).filter("kind in ('hook-listener', 'hook-fire', 'admin-page-register')")
+    keys = F.array_join(F.array_sort(F.transform("anchors", lambda a: a["key"])), " ")
+    return rows.select("path", "kind", "resolved", keys.alias("keys"), F.regexp_extract(F.get_json_object("payload", "$.meta.wrapperName"), r"[^|]*$", 0).alias("wrapper"))
+
+
 _TEST = """import { run } from '../src/lib@@';
 describe('g', () => { it('calls', () => { run() }) })
 """
@@ -226,3 +253,20 @@ def texts_to_edges(spark, sf_dir):
     edges = derive(g["files"].select("file_id", "path", "framework", "vendor"), g["facts"], g["links"], g["tests"])
     kinds = F.array_join(F.array_sort(F.transform("evidence", lambda e: e["kind"])), ",")
     return edges.select("test_id", "source", F.round("confidence", 6).alias("confidence"), kinds.alias("kinds"))
+
+
+_OPEN = "<?php\n// @@\nfunction f( $a ) {\n\tdo_action( 'x_' . $a );\n}\n\ndo_action( $b );\nadd_action( 'known', 'g' );"
+
+
+@query("""with l as (select p_partkey, string_split('<?php' || chr(10) || '// ' || p_partkey || chr(10) || 'function f( $a ) {' || chr(10) || chr(9) || 'do_action( ''x_'' . $a );' || chr(10) || '}' || chr(10) || chr(10) || 'do_action( $b );' || chr(10) || 'add_action( ''known'', ''g'' );', chr(10)) t from part),
+u as (select * from l, (values (4, '''x_'' . $a', 'f'), (7, '$b', '(file)')) v(line, expression, scope)),
+h as (select *, sha256(scope || chr(10) || 'hook=' || expression || chr(10)) expr_hash from u)
+select 'p' || p_partkey || '/o.php' path, line::int as line, '## Unit ' || expr_hash || chr(10) || chr(10) || '- kind: hook-fire' || chr(10) || '- unresolved expression: `' || expression || '`' || chr(10) || '- enclosing scope: ' || scope || chr(10)
+  || '- file: p' || p_partkey || '/o.php (lines 1-8)' || chr(10) || chr(10) || '```php' || chr(10) || array_to_string([i || ' | ' || t[i] for i in range(1, len(t) + 1)], chr(10)) || chr(10) || '```' as said from h""")
+def unresolved_units(spark, sf_dir):
+    """What is left unresolved, as texts with the source around it."""
+    texts = _texts(spark, sf_dir, [("p@@/o.php", "php", None, _OPEN)])
+    facts = B.raw_facts(texts).select(F.col("n").alias("fact_id"), F.col("path").alias("file_id"), "kind", "resolved", "start_line", "end_line", "payload")
+    rows = R.units(facts, texts.select(F.col("path").alias("file_id"), "path", "text"), spark.createDataFrame([("none",)], "expr_hash string"))
+    lines = F.when(F.col("expression") == "$b", 7).otherwise(4)
+    return rows.select("path", lines.cast("int").alias("line"), R.unit_text(rows).alias("said"))
