@@ -45,7 +45,7 @@ FREQUENT_BOUND = 2_000_000
 #: A list of more sets than this is compared by pivots, whatever is known of its element.
 LONG_LIST = 4 * LIST_LIMIT
 #: Elements that one task sorts at a time.
-RANGE_ROWS = 3_000_000
+RANGE_ROWS = 1_500_000
 #: Elements that a task combines or deals out at a time.
 FLUSH_ROWS = 400_000
 #: Members of a frequent list that the sets meet which are not linked to its pivot.
@@ -171,10 +171,16 @@ def _frequent(limit: int, ranges: int):
         once = [np.frombuffer(x, np.uint32) for x in table["once"].to_pylist()]
         more = [np.frombuffer(x, np.uint32) for x in table["more"].to_pylist()]
         times = [np.frombuffer(x, np.uint32) for x in table["times"].to_pylist()]
-        values = np.concatenate([*once, *more]).astype(U64) << U64(32)
-        values |= np.concatenate([*(np.ones(len(x), np.uint32) for x in once), *times]).astype(U64)
+        alone = sum(map(len, once))
+        values = np.concatenate([*once, *more]).astype(U64)
+        values <<= U64(32)
+        values[:alone] |= U64(1)
+        if times:
+            values[alone:] |= np.concatenate(times).astype(U64)
+        del once, more, times
         values.sort()
-        values, counts = values >> U64(32), (values & U64(0xFFFFFFFF)).astype(np.int64)
+        counts = (values & U64(0xFFFFFFFF)).view(np.int64)
+        values >>= U64(32)
         first = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]])) if len(values) else np.zeros(0, np.int64)
         total = np.add.reduceat(counts, first) if len(first) else np.zeros(0, np.int64)
         values = values[first].astype(np.int64)
@@ -246,13 +252,17 @@ def _list_pairs(percent: int, boundary: int, ranges: int):
         n = np.concatenate([np.frombuffer(x, np.int32) for x in table["sizes"].to_pylist()])
         order = np.lexsort((doc, n >> 1, token))
         token, doc, n = token[order], doc[order], n[order]
+        del order
         first = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]])) if len(token) else np.zeros(0, np.int64)
         many = np.diff(np.append(first, len(token)))
-        long = np.repeat(many > LONG_LIST, many)
-        # below the keys of whole elements, which are not negative
-        far = -1 - (token[long].astype(np.int64) * ranges + table["rng"][0].as_py())
-        held = doc[long]
-        token, doc, n = token[~long], doc[~long], n[~long]
+        far = held = np.zeros(0, np.int64)
+        if (many > LONG_LIST).any():
+            long = np.repeat(many > LONG_LIST, many)
+            # below the keys of whole elements, which are not negative
+            far = -1 - (token[long].astype(np.int64) * ranges + table["rng"][0].as_py())
+            held = doc[long]
+            token, doc, n = token[~long], doc[~long], n[~long]
+        del first, many
         small, large, d = [], [], 1
         while d < len(token):
             same = np.flatnonzero(token[d:] == token[:-d])
@@ -494,6 +504,7 @@ def _components(texts: DataFrame, words: int, percent: int) -> DataFrame:
     floor = -(-percent * (boundary + 1) // 100)
     entries = sets.filter(F.col("n") >= floor).select("doc_id", "n", "elements").mapInArrow(_entries(frequent, ranges, percent, floor), "rng int, tokens binary, docs binary, sizes binary")
     entries = stage(entries, "entries")
+    frequent.unpersist()
     met = stage(entries.filter("rng >= 0").groupBy("rng").applyInArrow(_list_pairs(percent, boundary, ranges), "x long, y long, list long"), "met")
     hot = entries.filter("rng < 0").select("tokens", "docs").mapInArrow(_rows, "token long, x long")
     hot = stage(hot.union(met.filter("y is null").select(F.col("list").alias("token"), "x")), "hot")

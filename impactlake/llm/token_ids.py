@@ -36,7 +36,7 @@ END_ID = 2
 #: Ids in a block, unless a single document has more.
 BLOCK_IDS = 1 << 18
 #: Pieces whose ids a worker remembers (about 30 bytes each); the oldest go first.
-CACHE_PIECES = 400_000
+CACHE_PIECES = 150_000
 #: Bytes of text that are split at a time; a longer text is a run of its own.
 TEXT_BYTES = 1 << 22
 #: Pieces that go through the library at a time.
@@ -320,7 +320,9 @@ def _write(texts: DataFrame, path: str, tokenizer: str, end_id: int) -> None:
     rank_of[ranked] = np.arange(len(ranked))
     spark.createDataFrame([(bytearray(ranked.astype("<u4").tobytes()),)], "ids binary").coalesce(1).write.parquet(f"{path}/dictionary")
     ordered = tokens.repartitionByRange(partitions(spark), "doc_id").sortWithinPartitions("doc_id", "ids")
-    ordered.mapInArrow(_blocks(spark.sparkContext.broadcast(rank_of), width), BLOCKS).write.option("compression", "zstd").parquet(f"{path}/blocks")
+    ranks = spark.sparkContext.broadcast(rank_of)
+    ordered.mapInArrow(_blocks(ranks, width), BLOCKS).write.option("compression", "zstd").parquet(f"{path}/blocks")
+    ranks.unpersist()
     dropped(tokens)
 
 
