@@ -372,7 +372,12 @@ def _read_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def stored_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_bytes, media): each text as a GIF, written to the shared folder and read from it."""
+    """(doc_id, n_bytes, media): each text as a GIF, written to the shared folder and read from it.
+
+    Null and empty texts are one row of samples 0.  Ids may be null or repeated; each row
+    stands for itself, and equal texts have equal media.  A text of any length is stored
+    whole, in as many frames as it needs.  Other columns are not read; no rows: no rows.
+    """
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return stage(texts.mapInArrow(_stored, "doc_id long, n_bytes long, media binary"), "media")
 

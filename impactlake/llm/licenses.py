@@ -127,7 +127,8 @@ def licence_matches(docs: DataFrame, templates: list[tuple[str, str]] | None = N
     come last, with the line of their first word: those that share no word with a line or
     paragraph of the same licence that is reported, and no bigram with a better run.  Of several
     templates the best counts, of equals the first licence by name.  Null and empty texts
-    have no matches; ids may be null or repeated; other columns are not read.
+    have no matches; ids may be null or repeated; texts of any length are read whole; other
+    columns are not read.
     """
     known = [(name, bigrams(normal_words(text))) for name, text in (templates if templates is not None else TEMPLATES)]
     known = [(name, grams) for name, grams in known if grams]

@@ -303,7 +303,8 @@ def write_token_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = EN
 
     Null and empty texts have the end id alone.  A null document id comes first; rows with
     the same id stand together, in the order of their ids' bytes.  An empty table gives an
-    empty dictionary and no blocks.  Columns other than the two named are not read.
+    empty dictionary and no blocks.  Columns other than the two named are not read.  Texts of
+    any length are encoded whole; ids of equal frequency rank by their number.
     """
     with tidy_shuffles(docs.sparkSession):
         _write(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")), path, tokenizer, end_id)
