@@ -95,12 +95,12 @@ def main(argv: list[str], stdin: list[str] | None = None) -> int:
     from .operators import lookup
     from .operators.traverse import dependencies, derive
     from .plans.session import ship_package
-    from .sources.tree import discovered, id_list
+    from .sources.tree import discovered, id_list, module_aliases
 
     began = time.time()
     spark = SparkSession.builder.getOrCreate()
     ship_package(spark)
-    g = graph(discovered(spark, root, config), extra=list(config.extractors), test_bases=config.phpunit_bases, wrappers=list(config.wrappers))
+    g = graph(discovered(spark, root, config), module_aliases(root, config.ignore), extra=list(config.extractors), test_bases=config.phpunit_bases, wrappers=list(config.wrappers))
     plain = g["files"].select("file_id", "path", "framework", "vendor")
     if asked.kind == "dependencies":
         rows, unknown = dependencies(plain, g["facts"], g["links"], id_list(spark, names, "path").select("path"), asked.min_confidence, list(config.stop_list), config.cap)

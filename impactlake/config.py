@@ -207,11 +207,12 @@ def load_config(path: str) -> Config:
     return parse_config(raw)
 
 
-def compiler_options(configs: dict[str, dict]) -> dict[str, list[tuple[str, list[str]]]]:
+def compiler_options(configs: dict[str, dict], named: set[str] | None = None) -> dict[str, list[tuple[str, list[str]]]]:
     """Aliases of modules by folder, from the texts of tsconfig and jsconfig files by path.
 
     ``extends`` takes over what a file does not say itself; targets are below ``baseUrl`` (or
-    the folder of the file that lists them) and relative to the root.  A circle ends.
+    the folder of the file that lists them) and relative to the root.  A circle ends.  ``named``:
+    the files that say something of their folders; others are only extended.
     """
     import posixpath
 
@@ -231,7 +232,7 @@ def compiler_options(configs: dict[str, dict]) -> dict[str, list[tuple[str, list
         return out
 
     made = {}
-    for path in configs:
+    for path in configs if named is None else sorted(named):
         o = options(path)
         base = o.get("base", o.get("paths_at", posixpath.dirname(path)))
         aliases = [(p, [posixpath.normpath(posixpath.join(base, t)) for t in targets]) for p, targets in (o.get("paths") or {}).items()]

@@ -8,7 +8,6 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
-from dataclasses import asdict
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -69,12 +68,21 @@ TYPED_ENDINGS = [".ts", ".tsx", "/index.ts", "/index.tsx"]
 PLAIN_ENDINGS = [".js", ".jsx", "", "/index.js", "/index.jsx"]
 
 
-def module_candidates(path: Column, specifier: Column, aliases: list[tuple[str, list[str]]] = ()) -> Column:
+Aliases = list[tuple[str, list[str]]]
+
+
+def module_candidates(path: Column, specifier: Column, aliases: Aliases | dict[str, Aliases] = ()) -> Column:
     """array<string> of the files that a specifier may name in a file, best first.
 
     ``aliases``: (pattern with at most one ``*``, targets below the root), the first whose
-    pattern fits counts.  Specifiers of packages name none.
+    pattern fits counts; or such lists by folder, of which the nearest above a file counts.
+    Specifiers of packages name none.
     """
+    if isinstance(aliases, dict):
+        out = module_candidates(path, specifier, aliases.get("", ()))
+        for folder in sorted((f for f in aliases if f), key=len):
+            out = F.when(path.startswith(folder + "/"), module_candidates(path, specifier, aliases[folder])).otherwise(out)
+        return out
     folder = F.regexp_replace(path, r"[^/]*$", "")
     own = F.when(specifier.rlike(r"^\.\.?(?:/|$)"), F.array(normalise_path(F.concat(folder, specifier))))
     fits = F.lit(None).cast("array<string>")
@@ -93,7 +101,7 @@ def module_candidates(path: Column, specifier: Column, aliases: list[tuple[str,
     return F.flatten(F.transform(bases, lambda b: F.concat(typed(b), ends(b, PLAIN_ENDINGS))))
 
 
-def resolved_modules(specifiers: DataFrame, files: DataFrame, aliases: list[tuple[str, list[str]]] = ()) -> DataFrame:
+def resolved_modules(specifiers: DataFrame, files: DataFrame, aliases: Aliases | dict[str, Aliases] = ()) -> DataFrame:
     """(path, specifier, resolved_path, builtin, asset) of (path, specifier): the first candidate that is a file, or null."""
     s = F.col("specifier")
     flagged = specifiers.select("path", "specifier").distinct().withColumn("builtin", is_node_builtin(s)).withColumn("asset", ~F.col("builtin") & is_asset(s))
@@ -179,7 +187,7 @@ def ajax_listeners(raw: DataFrame) -> DataFrame:
 _PAYLOAD = "name string, type_only boolean, mocked boolean, dynamic boolean, hook string, target string, framework string, testId string, meta struct<callable:boolean,resolvedBy:string,scopeRanges:array<struct<startLine:int,endLine:int>>>"
 
 
-def graph(files: DataFrame, aliases: list[tuple[str, list[str]]] = (), extra: list[Pattern] = (), test_bases: tuple[str, ...] = TEST_BASES, wrappers: list[dict] = ()) -> dict[str, DataFrame]:
+def graph(files: DataFrame, aliases: Aliases | dict[str, Aliases] = (), extra: list[Pattern] = (), test_bases: tuple[str, ...] = TEST_BASES, wrappers: list[dict] = ()) -> dict[str, DataFrame]:
     """The tables files, facts, links and tests of files (path, text, language, framework, framework_class, vendor).
 
     Ids are numbers in the order of paths and of facts in a file.  Of tests with the same id
@@ -203,7 +211,3 @@ def graph(files: DataFrame, aliases: list[tuple[str, list[str]]] = (), extra: li
     tests = placed.filter("kind = 'test-def'").select(p["testId"].alias("test_id"), "file_id", p["framework"].alias("framework"), "fact_id", F.col("fact_id").alias("ord"))
     tests = last_of(tests, ["test_id"]).join(listed.select("file_id", F.coalesce("framework_class", F.lit("unit")).alias("framework_class")), "file_id")
     return {"files": listed, "facts": facts, "links": links, "tests": tests.select("test_id", "file_id", "framework", "framework_class", "fact_id")}
-
-
-def as_rows(facts: list[Fact]) -> list[dict]:
-    return [asdict(f) for f in facts]

@@ -30,10 +30,6 @@ URL_ADMIN_PAGES = [p for p in CORE_ADMIN_PAGES if p not in ("theme-editor.php",
 OUTPUT_FOLDERS = ("build", "dist")
 
 
-def null_if(c: Column, bad: Column) -> Column:
-    return F.when(~bad, c)
-
-
 def regexp_or_null(c: Column, pattern: str, group: int = 1) -> Column:
     return F.when(c.rlike(pattern), F.regexp_extract(c, pattern, group))
 

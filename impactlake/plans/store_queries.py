@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import report as R
 from ..operators import store as W
+from ..operators.resolvers import CLASSES
 from ..sources import projection as G
 from .registry import query
 
@@ -211,3 +213,21 @@ def unknown_inputs(spark, sf_dir):
 def dense_numbers(spark, sf_dir):
     """Ids in the order of columns, without rows meeting in one task."""
     return W.numbered(G.table(spark, sf_dir, "part").select("p_type", "p_partkey"), ["p_type", "p_partkey"], "place").select("place", "p_partkey")
+
+
+@query("""select 'unresolved' as what, k as value, (select count(*) from part where case p_size % 3 when 0 then 'hook-fire' when 1 then 'symbol-use' else 'none' end = k and p_partkey % 4 > 0) n from (values ('hook-fire'), ('hook-listener')) t(k)
+union all select 'answers', c, (select count(*) from customer where case c_mktsegment when 'BUILDING' then 'structural-rule' when 'MACHINERY' then 'project-constant' else 'else' end = c) from (values ('structural-rule'), ('project-constant'), ('data-dependent-unresolvable')) t(c)""")
+def answer_status(spark, sf_dir):
+    """How many facts wait for an answer, and what answers there are."""
+    kind = F.when(F.col("p_size") % 3 == 0, "hook-fire").when(F.col("p_size") % 3 == 1, "symbol-use").otherwise("none")
+    facts = G.table(spark, sf_dir, "part").select(kind.alias("kind"), (F.col("p_partkey") % 4 == 0).alias("resolved"))
+    answers = G.table(spark, sf_dir, "customer").select(F.when(F.col("c_mktsegment") == "BUILDING", CLASSES[0]).when(F.col("c_mktsegment") == "MACHINERY", CLASSES[1]).otherwise("else").alias("classification"))
+    return R.status(facts, answers, CLASSES)
+
+
+@query("select (select count(*) from part) files, (select count(*) from lineitem) facts, (select count(*) from orders) tests, count(*) edges, sum(n)::bigint evidence from (select l_orderkey, count(distinct l_linestatus) n from lineitem group by 1)")
+def graph_summary(spark, sf_dir):
+    """What a graph holds, in one row."""
+    t = lambda name: G.table(spark, sf_dir, name)
+    edges = t("lineitem").groupBy("l_orderkey").agg(F.collect_set("l_linestatus").alias("evidence"))
+    return R.summary(t("part"), t("lineitem"), t("orders"), edges)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from collections.abc import Iterator
@@ -9,7 +10,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..config import Config
+from ..config import Config, compiler_options
 from ..functions.scalars import classify_language, detect_framework, framework_class, glob_regex, matches_any
 
 
@@ -71,6 +72,31 @@ def discovered(spark: SparkSession, root: str, config: Config) -> DataFrame:
     return files.join(texts, "path")
 
 
+_LOOSE = re.compile(r'("(?:[^"\\]|\\.)*")|//[^\n]*|/\*.*?\*/', re.DOTALL)
+
+
+def loose_json(text: str) -> dict:
+    """A JSON object that may have comments and commas before closing brackets; of anything else the empty one."""
+    plain = _LOOSE.sub(lambda m: m[1] or "", text)
+    plain = re.sub(r'("(?:[^"\\]|\\.)*")|,(?=\s*[}\]])', lambda m: m[1] or "", plain)
+    try:
+        made = json.loads(plain)
+    except ValueError:
+        return {}
+    return made if isinstance(made, dict) else {}
+
+
+def module_aliases(root: str, ignore: tuple[str, ...]) -> dict[str, list[tuple[str, list[str]]]]:
+    """Aliases of modules by folder, from the tsconfig and jsconfig files of a local tree and what they extend."""
+    texts = {}
+    for path in walked(root, ignore):
+        if re.search(r"(?:^|/)[jt]sconfig[^/]*\.json$", path):
+            with open(os.path.join(root, path), encoding="utf-8", errors="replace") as f:
+                texts[path] = loose_json(f.read())
+    plain = {p for p in texts if re.search(r"(?:^|/)[jt]sconfig\.json$", p)}
+    return compiler_options(texts, plain)
+
+
 def id_list(spark: SparkSession, lines: list[str], column: str) -> DataFrame:
     """Ids that a caller names, with their places: trimmed, blank ones left out, repeats kept."""
     rows = [(i, x.strip()) for i, x in enumerate(lines) if x.strip()]

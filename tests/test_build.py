@@ -69,6 +69,31 @@ def test_compiler_options():
     assert got["pkg"] == []
 
 
+def test_aliases_of_a_tree(spark, tmp_path):
+    from impactlake.extract.build import resolved_modules
+    from impactlake.sources.tree import loose_json, module_aliases
+
+    (tmp_path / "pkg").mkdir()
+    (tmp_path / "tsconfig.json").write_text('{ // root\n "compilerOptions": {"paths": {"@/*": ["src/*"], "~x": ["x//y.ts"],}, /* no */ }, }')
+    (tmp_path / "pkg" / "tsconfig.json").write_text('{"extends": "../tsconfig.base"}')
+    (tmp_path / "tsconfig.base.json").write_text('{"compilerOptions": {"baseUrl": "lib"}}')
+    assert loose_json("[1]") == {} == loose_json("{")
+    aliases = module_aliases(str(tmp_path), ())
+    assert set(aliases) == {"", "pkg"} and aliases["pkg"] == [("*", ["lib/*"])]
+    files = spark.createDataFrame([("src/a.ts",), ("lib/b.js",), ("x/y.ts",), ("pkg/c/index.tsx",)], "path string")
+    asked = [("m.ts", "@/a"), ("pkg/m.ts", "b"), ("m.ts", "b"), ("m.ts", "~x"), ("pkg/m.ts", "./c"), ("pkg/m.ts", "@/a"), ("m.ts", "node:fs")]
+    got = {(r.path, r.specifier): r.resolved_path for r in resolved_modules(spark.createDataFrame(asked, "path string, specifier string"), files, aliases).collect()}
+    assert [got[a] for a in asked] == ["src/a.ts", "lib/b.js", None, "x/y.ts", "pkg/c/index.tsx", None, None]
+
+
+def test_api():
+    import impactlake
+
+    assert impactlake.Config is Config and impactlake.parse_config is parse_config
+    with pytest.raises(AttributeError):
+        impactlake.nothing
+
+
 def test_argv():
     got = parse_argv(["tests", "--framework=jest", "--min-confidence=7", "--from-sources", "a", "b", "--strict", "c", "--timing-top=2"])
     assert (got.kind, got.names, got.framework, got.min_confidence, got.strict, got.top, got.timing) == ("tests", ["a", "b"], "jest", 1.0, True, 2, True)
