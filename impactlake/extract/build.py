@@ -34,7 +34,8 @@ def facts_of(path: str, text: str, language: str, framework: str | None, pattern
         if language == "php":
             return Php(text, path, patterns, test_bases).facts()
         script = Script(text, path, language)
-        return [*script.facts(framework), *Matcher(script, patterns).facts()]
+        matcher = Matcher(script, patterns)
+        return [*script.facts(framework), *matcher.facts(), *matcher.constants()]
     except (LexError, IndexError, KeyError) as e:
         line = text.count("\n", 0, getattr(e, "at", 0)) + 1
         return [Fact("parse-error", line, line, [], {"message": str(e) or "unexpected end", "line": line}, False)]
@@ -153,7 +154,27 @@ def _synthesized(patterns: list[Pattern]):
     return run
 
 
-WRAPPER_ROWS = ("wrapper-def", "wrapper-call")
+#: Rows that only other rows are made of.
+WRAPPER_ROWS = ("wrapper-def", "wrapper-call", "script-constant")
+
+
+def with_constants(raw: DataFrame, modules: DataFrame) -> DataFrame:
+    """RAW facts in which a call's one missing name is taken from the exported constant that it imports."""
+    field = lambda c: F.get_json_object("payload", f"$.{c}")
+    constants = raw.filter("kind = 'script-constant'").select(F.col("path").alias("resolved_path"), field("name").alias("name"), field("value").alias("value"))
+    wanted = F.from_json(field("imported"), "struct<field:string,specifier:string,name:string,template:string,role:string>")
+    asks = raw.filter(field("imported").isNotNull()).select("path", "n", wanted.alias("w"))
+    found = asks.withColumn("specifier", F.col("w.specifier")).join(modules.select("path", "specifier", "resolved_path"), ["path", "specifier"]).withColumn("name", F.col("w.name")).join(constants, ["resolved_path", "name"])
+    found = found.groupBy("path", "n").agg(F.min(F.struct("value", "w")).alias("got"))
+    rows = raw.join(found, ["path", "n"], "left")
+    got, held = F.col("got.value"), F.col("got").isNotNull()
+    key = F.replace(F.col("got.w.template"), F.concat(F.lit("{"), F.col("got.w.field"), F.lit("}")), got)
+    plain = F.map_filter(F.from_json("payload", "map<string,string>"), lambda k, v: ~k.isin("unresolved", "imported"))
+    payload = F.to_json(F.map_concat(plain, F.create_map(F.col("got.w.field"), got)))
+    return rows.select(
+        "path", "n", "kind", (F.col("resolved") | held).alias("resolved"), "start_line", "end_line",
+        F.when(held, F.array(F.struct(key.alias("key"), F.col("got.w.role").alias("role")))).otherwise(F.col("anchors")).alias("anchors"), F.when(held, payload).otherwise(F.col("payload")).alias("payload"),
+    )
 
 
 def wrapper_index(raw: DataFrame, configured: list[dict] = ()) -> DataFrame:
@@ -195,9 +216,10 @@ def graph(files: DataFrame, aliases: Aliases | dict[str, Aliases] = (), extra: l
     """
     listed = stage(numbered(files.select("path", "language", "framework", "framework_class", "vendor", F.sha1("text").alias("content_hash")), ["path"], "file_id"), "files")
     raw = stage(raw_facts(files, extra, test_bases), "raw-facts")
-    raw = raw.filter(~F.col("kind").isin(*WRAPPER_ROWS)).unionByName(wrapped_calls(raw, wrapper_index(raw, wrappers), extra))
-    raw = raw.unionByName(ajax_listeners(raw))
     modules = stage(resolved_modules(raw.select("path", F.get_json_object("payload", "$.specifier").alias("specifier")).filter("specifier is not null"), files, aliases), "modules")
+    calls = wrapped_calls(raw, wrapper_index(raw, wrappers), extra)
+    raw = with_constants(raw, modules).filter(~F.col("kind").isin(*WRAPPER_ROWS)).unionByName(calls)
+    raw = raw.unionByName(ajax_listeners(raw))
     placed = numbered(with_modules(raw, modules), ["path", "n"], "fact_id")
     placed = stage(placed.join(listed.select("path", "file_id"), "path"), "facts")
     p = F.from_json("payload", _PAYLOAD)

@@ -227,6 +227,8 @@ class Matcher:
             if p.lang != "php":
                 self.patterns.setdefault(p.name, []).append(p)
         self.inits = self._inits()
+        #: Names that imports bind: specifier, and the name there.
+        self.imported = {here: (self.t.text[x["at"]], there) for x in script.import_list if "bound" in x for there, here, _ in x["bound"]["names"]}
 
     def top(self, span: Span) -> list[int]:
         """The tokens of an expression that stand in no group of it, openings of groups included."""
@@ -363,6 +365,15 @@ class Matcher:
                     return i
         return i
 
+    def constants(self) -> list[Fact]:
+        """Exported constants that are strings, for other files' calls."""
+        out = []
+        for name, (a, b, exported, what) in self.s.declared.items():
+            value = self.value(self.inits[name], "string") if exported and what == "variable" and name in self.inits else None
+            if value is not None and "{*}" not in value:
+                out.append(Fact("script-constant", a, b, [], {"name": name, "value": value}))
+        return out
+
     def facts(self) -> list[Fact]:
         out = []
         silent = {k for a, b in self.s.types for k in range(a, b + 1)}
@@ -423,6 +434,10 @@ class Matcher:
                 anchors.append((key, p.role))
         if not known and failed:
             fields["unresolved"] = unresolved(self.scope(first), failed)
+            # the one name that is missing may be a constant of another file
+            there = self.imported.get(failed[0]["expression"])
+            if len(failed) == 1 and there and p.transform is None and p.template is not None and re.findall(r"\{[^}*]+\}", p.template) == [f"{{{failed[0]['field']}}}"]:
+                fields["imported"] = {"field": failed[0]["field"], "specifier": there[0], "name": there[1], "template": p.template, "role": p.role}
         return Fact(p.emit, self.s.first_line(first), self.s.last_line(call.end), anchors, fields, known)
 
 

@@ -200,6 +200,22 @@ def ajax_listeners(spark, sf_dir):
     return rows.select("path", (2 * order - 1).cast("int").alias("n"), F.get_json_object("payload", "$.action").alias("action"), F.get_json_object("payload", "$.callback").alias("callback"))
 
 
+_CONST = "export const STORE = 'core/@@' as const; export let { x } = y\nconst own = 'no'; export { own as shown }\nexport const part = `a${x}`\n"
+_ASKS = "import { STORE as S, part, gone } from './a'\nselect(S); doAction(S); dispatch(part); useDispatch(gone); apiFetch(S)\n"
+
+
+@query("""select 'p' || p_partkey || '/b.ts' path, kind, resolved, replace(keys, '@@', p_partkey::varchar) as keys, replace(said, '@@', p_partkey::varchar) said from part,
+(values ('store-access', true, 'wp-store:core/@@', 'core/@@'), ('hook-fire', true, 'hook:core/@@', 'core/@@'), ('store-access', false, '', null), ('store-access', false, '', null), ('rest-call-js', false, '', null)) t(kind, resolved, keys, said)""")
+def imported_constants(spark, sf_dir):
+    """A call's name is taken from the exported constant it imports; templates with expressions and names that are not there stay open."""
+    texts = _texts(spark, sf_dir, [("p@@/a.ts", "ts", None, _CONST), ("p@@/b.ts", "ts", None, _ASKS)])
+    raw = B.raw_facts(texts)
+    specifiers = raw.select("path", F.get_json_object("payload", "$.specifier").alias("specifier")).filter("specifier is not null")
+    rows = B.with_constants(raw, B.resolved_modules(specifiers, texts)).filter("kind in ('store-access', 'hook-fire', 'rest-call-js')")
+    said = F.when(F.col("resolved"), F.coalesce(F.get_json_object("payload", "$.key"), F.get_json_object("payload", "$.hook")))
+    return rows.select("path", "kind", "resolved", F.array_join(F.transform("anchors", lambda a: a["key"]), " ").alias("keys"), said.alias("said"))
+
+
 _WRAPS = """<?php
 namespace W;
 function on_saved( $name, $cb ) { $full = 'saved_@@'; add_action( $name, $cb ); do_action( $full ); }
