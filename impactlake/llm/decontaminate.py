@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table, stage
+from .common import frugal, read_table, stage
 from .textvec import U64, runs, slices, window_hashes, word_hashes, word_spans
 
 WINDOW = 8
@@ -173,7 +173,7 @@ def _hits(held):
                     names=[*batch.schema.names[:-1], "n_words", "n_hit", "items", "spans"],
                 )
 
-    return run
+    return frugal(run)
 
 
 FOUND = "n_words long, n_hit long, items array<long>, spans array<array<long>>"
@@ -244,7 +244,7 @@ def _clean(held, column: int, min_items: int):
                 good = np.bincount(met[0], minlength=hi - lo) < min_items
                 yield batch.slice(lo, hi - lo).filter(pa.array(good))
 
-    return run
+    return frugal(run)
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, min_items: int = MIN_ITEMS) -> DataFrame:

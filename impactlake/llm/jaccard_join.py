@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import drop_table, dropped, partitions, read_table, shared_dir, stage, tidy_shuffles
+from .common import drop_table, dropped, frugal, partitions, read_table, shared_dir, stage, tidy_shuffles
 from .components import connected_components
 from .textvec import U64, mix, runs, slices, window_hashes, word_hashes, word_spans
 
@@ -113,7 +113,7 @@ def _signatures(k: int):
                     sums.append((total[edge[1:]] - total[edge[:-1]]).view(np.int64))
                 yield pa.RecordBatch.from_arrays([ids.slice(lo, hi - lo), pa.array(counts, pa.int64()), *map(pa.array, sums)], names=["doc_id", "n", "s1", "s2"])
 
-    return run
+    return frugal(run)
 
 
 def _sets(k: int):
@@ -127,7 +127,7 @@ def _sets(k: int):
                 blobs = [packed[7 * a : 7 * b] for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([ids.slice(lo, hi - lo), pa.array(counts, pa.int64()), pa.array(blobs, pa.binary())], names=["doc_id", "n", "elements"])
 
-    return run
+    return frugal(run)
 
 
 # --- frequent elements ----------------------------------------------------------------
@@ -163,7 +163,7 @@ def _counted(ranges: int):
         if held:
             yield from flush(held)
 
-    return run
+    return frugal(run)
 
 
 def _frequent(limit: int, ranges: int):
@@ -187,7 +187,7 @@ def _frequent(limit: int, ranges: int):
         kept = total >= limit
         return pa.table({"element": pa.array(values[kept] * ranges + table["rng"][0].as_py()), "df": pa.array(total[kept].astype(np.int64))})
 
-    return run
+    return frugal(run)
 
 
 # --- inverted lists --------------------------------------------------------------------
@@ -236,7 +236,7 @@ def _entries(frequent, ranges: int, percent: int, floor: int):
         if parts:
             yield from flush(parts)
 
-    return run
+    return frugal(run)
 
 
 def _list_pairs(percent: int, boundary: int, ranges: int):
@@ -283,9 +283,10 @@ def _list_pairs(percent: int, boundary: int, ranges: int):
         none = pa.nulls(len(held), pa.int64()), pa.nulls(len(x), pa.int64())
         return pa.table({"x": np.concatenate([x, held]), "y": pa.concat_arrays([pa.array(y, pa.int64()), none[0]]), "list": pa.concat_arrays([none[1], pa.array(far, pa.int64())])})
 
-    return run
+    return frugal(run)
 
 
+@frugal
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The entries of blobs as rows (token, doc)."""
     for batch in batches:
@@ -295,6 +296,7 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array(v[lo : lo + 50_000]) for v in (token, doc)], names=["token", "x"])
 
 
+@frugal
 def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out = []
@@ -372,7 +374,7 @@ def _subsets(most: int, percent: int):
             for k, d, s in zip(key, doc, size, strict=True):
                 yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(d), pa.array(s)], names=["key", "x", "larger"])
 
-    return run
+    return frugal(run)
 
 
 def light_links(sets: DataFrame, most: int, percent: int) -> DataFrame:
@@ -467,7 +469,7 @@ def _block(percent: int):
         lx, rx = (np.array(t["x"].to_pylist(), np.int64) for t in (left, right))
         return pa.table({"a": lx[a], "b": rx[b]})
 
-    return run
+    return frugal(run)
 
 
 # --- the operator ------------------------------------------------------------------------

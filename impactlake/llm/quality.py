@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import dropped, read_table, stage
+from .common import dropped, frugal, read_table, stage
 from .textvec import U64, slices, word_hashes, word_spans
 
 #: Labelled rows that a fit uses at most: those of the smallest hashes of their ids.
@@ -175,7 +175,7 @@ def _scored(model):
             for lo, hi, raw, at in slices(batch.column(1)):
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(trees.score(statistics(raw, at)))], names=["doc_id", "score"])
 
-    return run
+    return frugal(run)
 
 
 def held_out(id_col: str = "doc_id"):
@@ -227,7 +227,7 @@ def _kept(model, column: int):
                 good = trees.score(statistics(raw, at)) >= THRESHOLD
                 yield batch.slice(lo, hi - lo).filter(pa.array(good))
 
-    return run
+    return frugal(run)
 
 
 def good_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:

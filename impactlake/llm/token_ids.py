@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import dropped, partitions, read_table, shared_dir, stage, tidy_shuffles
+from .common import dropped, frugal, partitions, read_table, shared_dir, stage, tidy_shuffles
 from .textvec import runs, utf8_arrays, word_spans
 
 TOKENIZER = "word_bpe_49k.json"
@@ -221,7 +221,7 @@ def _tokenized(path: str, end: int):
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(blobs, pa.binary())], names=["doc_id", "ids"])
                 lo = hi
 
-    return run
+    return frugal(run)
 
 
 # --- the code ----------------------------------------------------------------------------
@@ -267,7 +267,7 @@ def _frequencies(width: str):
         ids = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(ids.astype(np.int64)), pa.array(total[ids])], names=["id", "n"])
 
-    return run
+    return frugal(run)
 
 
 BLOCKS = "shard int, block int, docs binary, lengths binary, n_ids long, control binary, data binary"
@@ -295,7 +295,7 @@ def _blocks(rank_of, width: str):
         if parts:
             yield made()
 
-    return run
+    return frugal(run)
 
 
 def write_token_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> None:
@@ -341,7 +341,7 @@ def _decoded(dictionary):
                 same = [pa.array(np.full(len(n), row[c], np.int32)) for c in ("shard", "block")]
                 yield pa.RecordBatch.from_arrays([pa.array(docs[:, 1], mask=docs[:, 0] == 0), *same, pa.array(before), pa.array(n), pa.array(blobs, pa.binary())], names=["doc_id", "shard", "block", "before", "n_tokens", "ids"])
 
-    return run
+    return frugal(run)
 
 
 def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
