@@ -119,8 +119,12 @@ def localized_globals(spark, sf_dir):
 def file_facts_replaced(spark, sf_dir):
     """All facts of some files give way to new ones."""
     p = G.table(spark, sf_dir, "part")
-    facts = p.select(F.col("p_partkey").alias("fact_id"), F.when(F.col("p_size") % 4 == 0, F.col("p_partkey")).otherwise(0).alias("file_id"), F.col("p_type").alias("kind"))
-    return R.replace_file_facts(facts, p.filter("p_size % 4 = 0").select(F.col("p_partkey").alias("fact_id"), F.col("p_partkey").alias("file_id"), F.lit("core").alias("kind")))
+    # a part numbered 0 has a file of its own, not the one that the other parts share
+    own = F.coalesce(F.col("p_size") % 4 == 0, F.lit(False))
+    file = F.struct(own.alias("own"), F.when(own, F.col("p_partkey")).otherwise(0).alias("id"))
+    facts = p.select(F.col("p_partkey").alias("fact_id"), file.alias("file_id"), F.col("p_type").alias("kind"))
+    rows = R.replace_file_facts(facts, p.filter(own).select(F.col("p_partkey").alias("fact_id"), file.alias("file_id"), F.lit("core").alias("kind")))
+    return rows.select("fact_id", F.col("file_id.id").alias("file_id"), "kind")
 
 
 @query("""with f as (select md5((p_partkey % 300)::varchar) h, max(p_partkey) fact_id from part where p_size > 5 group by 1)
