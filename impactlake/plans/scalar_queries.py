@@ -33,7 +33,7 @@ def cases(name: str, made: dict[str, Callable[[Column], Column]], table: list[Ca
         rows.append(f"select p_partkey, {_sql(said)} as said, {cols} from part")
 
     def run(spark, sf_dir):
-        part = G.table(spark, sf_dir, "part").select("p_partkey", F.explode(F.array(*[F.lit(t) for t, _ in table])).alias("t"))
+        part = G.parts(spark, sf_dir, "p_partkey").select("p_partkey", F.explode(F.array(*[F.lit(t) for t, _ in table])).alias("t"))
         said = part.select("p_partkey", F.replace("t", F.lit("@@"), F.col("p_partkey").cast("string")).alias("said"))
         return said.select("p_partkey", "said", *[f(F.col("said")).alias(c) for c, f in made.items()])
 

@@ -14,3 +14,24 @@ def test_a_part_numbered_0_has_a_file_of_its_own(spark, tmp_path):
     folder = parts(spark, tmp_path, [(0, "n", "B", "STEEL", 4), (1, "n", "B", "TIN", 1), (2, "n", "B", "TIN", None), (4, "n", "B", "TIN", 8)])
     got = sorted(map(tuple, catalogue.queries()["file_facts_replaced"](spark, folder).collect()))
     assert got == [(0, 0, "core"), (1, 0, "TIN"), (2, 0, "TIN"), (4, 4, "core")]
+
+
+def test_no_table_goes_through_the_driver_on_an_estimate(spark, tmp_path):
+    import __spark_entry__
+
+    folder, before = parts(spark, tmp_path, [(i, "n", "B", "TIN", i % 50) for i in range(20)]), spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    queries = __spark_entry__.queries()
+    rows = queries["js_symbols"](spark, folder)
+    assert "Broadcast" not in rows._jdf.queryExecution().sparkPlan().toString() and rows.count() == 20 * 12
+    spark.createDataFrame([(1, "a b")], "doc_id long, text string").write.parquet(f"{folder}/documents.parquet")
+    queries["op3_pii"](spark, folder)
+    assert spark.conf.get("spark.sql.autoBroadcastJoinThreshold") == before
+
+
+def test_texts_are_read_once_and_by_all_tasks(spark, tmp_path):
+    import __spark_entry__
+
+    folder = parts(spark, tmp_path, [(i, "n", "B", "TIN", i % 50) for i in range(400)])
+    plan = __spark_entry__.queries()["php_facts"](spark, folder)._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" not in plan
+    assert __spark_entry__.queries()["route_params"](spark, folder).rdd.getNumPartitions() >= 8
