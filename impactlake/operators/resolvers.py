@@ -165,7 +165,11 @@ def localized_globals(enqueues: DataFrame, objects: DataFrame) -> DataFrame:
     """
     handles = enqueues.filter("role = 'subject' and key like 'script-handle:%'").select("fact_id", F.expr("substr(key, 15)").alias("handle"))
     scripts = enqueues.filter("role = 'target' and key like 'js-module:%'").select("fact_id", F.expr("substr(key, 11)").alias("path"))
-    return handles.join(scripts, "fact_id").join(objects, "handle").select("path", "object", "value").distinct()
+    # many facts say the same of a handle; each object meets each script of its handle once
+    named = handles.join(scripts, "fact_id").select("handle", "path").distinct()
+    # few bytes go in and many rows come out, so tasks are not put together by what goes in
+    named = named.repartition(int(named.sparkSession.conf.get("spark.sql.shuffle.partitions")), "handle")
+    return named.join(objects.select("handle", "object", "value").distinct(), "handle").select("path", "object", "value").distinct()
 
 
 def replace_file_facts(facts: DataFrame, new: DataFrame) -> DataFrame:

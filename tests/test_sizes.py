@@ -35,3 +35,13 @@ def test_texts_are_read_once_and_by_all_tasks(spark, tmp_path):
     plan = __spark_entry__.queries()["php_facts"](spark, folder)._jdf.queryExecution().executedPlan().toString()
     assert "MapInArrow" not in plan
     assert __spark_entry__.queries()["route_params"](spark, folder).rdd.getNumPartitions() >= 8
+
+
+def test_objects_of_a_handle_meet_its_scripts_once(spark):
+    from impactlake.operators.resolvers import localized_globals
+
+    links = spark.createDataFrame([(n, key, role) for n in range(30) for key, role in (("script-handle:h", "subject"), ("js-module:a.js", "target"))], "fact_id long, key string, role string")
+    rows = localized_globals(links, spark.createDataFrame([("h", "O", "v")] * 50, "handle string, object string, value string"))
+    assert [tuple(r) for r in rows.collect()] == [("a.js", "O", "v")]
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate") == 3
