@@ -10,7 +10,7 @@ import json
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import is_asset, is_node_builtin, normalise_path
@@ -45,14 +45,15 @@ def facts_of(path: str, text: str, language: str, framework: str | None, pattern
 FACTS = 1000
 
 
-def _rows(patterns: list[Pattern], test_bases: tuple[str, ...]):
+def _rows(patterns: list[Pattern], test_bases: tuple[str, ...], kinds: frozenset[str] | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for row in batch.to_pylist():
                 if row["text"] is not None and row["language"] is not None:
                     for n, f in enumerate(facts_of(row["path"], row["text"], row["language"], row["framework"], patterns, test_bases)):
-                        rows.append((row["path"], n, f.kind, f.resolved, f.start_line, f.end_line, [{"key": k, "role": r} for k, r in f.anchors], json.dumps(f.payload, ensure_ascii=False)))
+                        if kinds is None or f.kind in kinds:
+                            rows.append((row["path"], n, f.kind, f.resolved, f.start_line, f.end_line, [{"key": k, "role": r} for k, r in f.anchors], json.dumps(f.payload, ensure_ascii=False)))
                 if len(rows) >= FACTS:
                     yield _batch(rows)
                     rows = []
@@ -66,13 +67,14 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True), _ARROW, strict=True)], schema=_ARROW)
 
 
-def raw_facts(files: DataFrame, extra: list[Pattern] = (), test_bases: tuple[str, ...] = TEST_BASES) -> DataFrame:
+def raw_facts(files: DataFrame, extra: list[Pattern] = (), test_bases: tuple[str, ...] = TEST_BASES, kinds: list[str] | None = None) -> DataFrame:
     """The facts (RAW) of files (path, text, language, framework); null texts and languages have none.
 
-    ``extra``: patterns of the project, after the built-in ones.
+    ``extra``: patterns of the project, after the built-in ones.  ``kinds``: the facts that leave
+    the workers, where not all are asked for; their numbers count all facts of the file.
     """
     patterns = [*SCRIPT_PATTERNS, *PHP_PATTERNS, *extra]
-    return files.select("path", "text", "language", "framework").mapInArrow(_rows(patterns, tuple(test_bases)), RAW)
+    return files.select("path", "text", "language", "framework").mapInArrow(_rows(patterns, tuple(test_bases), None if kinds is None else frozenset(kinds)), RAW)
 
 
 #: Endings that are tried for a module in the order of a compiler: TypeScript first, files before folders (fixed values).
@@ -127,21 +129,28 @@ def with_modules(raw: DataFrame, modules: DataFrame) -> DataFrame:
 
     A use of a name that no file of the project gives is dropped; of equal uses in a file the first stays.
     """
-    said = F.get_json_object("payload", "$.specifier")
-    rows = raw.withColumn("specifier", said).join(modules, ["path", "specifier"], "left")
-    use = (F.col("kind") == "symbol-use") & F.col("specifier").isNotNull()
+    # few payloads are worth parsing
+    said = F.when(F.contains("payload", F.lit('"specifier"')), F.get_json_object("payload", "$.specifier"))
+    use = F.col("kind") == "symbol-use"
+    own_use = F.coalesce(use & F.get("anchors", F.lit(0))["key"].startswith("js-symbol:"), F.lit(False))
+    every = raw.withColumn("specifier", said)
+    # what names no file and repeats nothing stays where it is
+    alone = every.filter(F.col("specifier").isNull() & ~own_use).withColumns({"resolved_path": F.lit(None).cast("string"), "builtin": F.lit(None).cast("boolean"), "asset": F.lit(None).cast("boolean")})
+    rows = every.filter(F.col("specifier").isNotNull() | own_use).join(modules, ["path", "specifier"], "left")
+    use = use & F.col("specifier").isNotNull()
     rows = rows.filter(~use | F.col("resolved_path").isNotNull())
     key = F.concat(F.lit("js-symbol:"), F.col("resolved_path"), F.lit(":"), F.get_json_object("payload", "$.name"))
     anchor = lambda k, role: F.array(F.struct(k.alias("key"), F.lit(role).alias("role")))
     module = F.concat(F.lit("js-module:"), F.coalesce("resolved_path", "specifier"))
-    anchors = F.when(use, anchor(key, "target")).when(F.col("kind") == "import-edge", anchor(module, "module")).otherwise(F.col("anchors"))
-    known = F.when(use, True).when(F.col("kind") == "import-edge", F.col("builtin") | F.col("asset") | F.col("resolved_path").isNotNull()).otherwise(F.col("resolved"))
+    edge = (F.col("kind") == "import-edge") & F.col("specifier").isNotNull()
+    anchors = F.when(use, anchor(key, "target")).when(edge, anchor(module, "module")).otherwise(F.col("anchors"))
+    known = F.when(use, True).when(edge, F.col("builtin") | F.col("asset") | F.col("resolved_path").isNotNull()).otherwise(F.col("resolved"))
     rows = rows.withColumn("anchors", anchors).withColumn("resolved", known)
-    target = F.when((F.col("kind") == "symbol-use") & F.col("anchors")[0]["key"].startswith("js-symbol:"), F.col("anchors")[0]["key"])
-    first = rows.withColumn("__use", target)
-    again = first.filter("__use is not null").groupBy("path", "__use").agg(F.min("n").alias("__first"))
-    kept = first.join(again, ["path", "__use"], "left").filter("__first is null or n = __first")
-    return kept.select("path", "n", "kind", "resolved", "start_line", "end_line", "anchors", "payload", "specifier", "resolved_path", "builtin", "asset")
+    target = F.when((F.col("kind") == "symbol-use") & F.get("anchors", F.lit(0))["key"].startswith("js-symbol:"), F.get("anchors", F.lit(0))["key"])
+    first = F.min("n").over(Window.partitionBy("path", "__use"))
+    kept = rows.withColumn("__use", target).withColumn("__first", first).filter("__use is null or n = __first")
+    columns = ["path", "n", "kind", "resolved", "start_line", "end_line", "anchors", "payload", "specifier", "resolved_path", "builtin", "asset"]
+    return kept.select(columns).unionByName(alone.select(columns))
 
 
 def _synthesized(patterns: list[Pattern]):

@@ -171,17 +171,17 @@ def _texts(spark, sf_dir, files):
     return rows.select(own("path"), "f.language", "f.framework", own("text"))
 
 
-def _raw(texts):
-    """The facts of texts, kept: reading texts is what takes time, and what joins files reads the facts more than once."""
-    return stage(B.raw_facts(texts), "raw-facts")
+def _raw(texts, kinds=None):
+    """The facts of texts, or those of some kinds, kept: reading texts is what takes time, and what joins files reads the facts more than once."""
+    return stage(B.raw_facts(texts, kinds=kinds), "raw-facts")
 
 
 def _register(name, kinds, files, expected):
     def run(spark, sf_dir):
         texts = _texts(spark, sf_dir, files)
-        raw = _raw(texts)
+        raw = _raw(texts, kinds)
         specifiers = raw.select("path", F.get_json_object("payload", "$.specifier").alias("specifier")).filter("specifier is not null")
-        rows = B.with_modules(raw, B.resolved_modules(specifiers, texts)).filter(F.col("kind").isin(kinds))
+        rows = B.with_modules(raw, B.resolved_modules(specifiers, texts))
         keys = F.array_join(F.array_sort(F.transform("anchors", lambda a: a["key"])), " ")
         return rows.select("path", "kind", "resolved", "start_line", "end_line", keys.alias("keys"))
 
@@ -287,7 +287,7 @@ select 'p' || p_partkey || '/o.php' path, line::int as line, '## Unit ' || expr_
 def unresolved_units(spark, sf_dir):
     """What is left unresolved, as texts with the source around it."""
     texts = _texts(spark, sf_dir, [("p@@/o.php", "php", None, _OPEN)])
-    facts = _raw(texts).select(F.col("n").alias("fact_id"), F.col("path").alias("file_id"), "kind", "resolved", "start_line", "end_line", "payload")
+    facts = _raw(texts, R.KINDS).select(F.col("n").alias("fact_id"), F.col("path").alias("file_id"), "kind", "resolved", "start_line", "end_line", "payload")
     rows = R.units(facts, texts.select(F.col("path").alias("file_id"), "path", "text"), spark.createDataFrame([("none",)], "expr_hash string"))
     lines = F.when(F.col("expression") == "$b", 7).otherwise(4)
     return rows.select("path", lines.cast("int").alias("line"), R.unit_text(rows).alias("said"))

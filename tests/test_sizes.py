@@ -45,3 +45,16 @@ def test_objects_of_a_handle_meet_its_scripts_once(spark):
     assert [tuple(r) for r in rows.collect()] == [("a.js", "O", "v")]
     plan = rows._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Aggregate") == 3
+
+
+def test_only_facts_that_name_files_are_joined_with_modules(spark):
+    from impactlake.extract import build as B
+
+    texts = spark.createDataFrame([("a.php", "<?php use A\\B; new B(); f();", "php", None), ("b.ts", "import { x } from './c'; x(); x()", "ts", None), ("c.ts", "export let x = 1", "ts", None)], "path string, text string, language string, framework string")
+    raw = B.raw_facts(texts, kinds=["symbol-use"])
+    assert {r.kind for r in raw.collect()} == {"symbol-use"}
+    rows = B.with_modules(raw, B.resolved_modules(B.raw_facts(texts).selectExpr("path", "get_json_object(payload, '$.specifier') specifier").filter("specifier is not null"), texts))
+    assert sorted((r.path, r.anchors[0].key) for r in rows.collect()) == [("a.php", "php-symbol:A\\B"), ("a.php", "php-symbol:f"), ("b.ts", "js-symbol:c.ts:x")]
+    # facts of files without modules take a branch that has no exchange
+    plan = rows._jdf.queryExecution().sparkPlan()
+    assert plan.nodeName() == "Union" and "Join" not in plan.children().apply(1).toString() and "Window" not in plan.children().apply(1).toString()
