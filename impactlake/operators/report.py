@@ -36,7 +36,8 @@ def units(facts: DataFrame, files: DataFrame, answered: DataFrame, kinds: list[s
     rows = rows.filter("expr_hash <> '' and scope is not null").join(answered.select("expr_hash"), "expr_hash", "left_anti").join(files.select("file_id", "path", "text"), "file_id").filter("text is not null")
     n = F.size(F.split("text", "\n", -1))
     made = rows.select("fact_id", "expr_hash", "kind", "expression", "scope", "path", F.greatest(F.col("start_line") - MARGIN, F.lit(1)).alias("first_line"), F.least(F.col("end_line") + MARGIN, n).alias("last_line"), context_lines(F.col("text"), F.col("start_line"), F.col("end_line"), MARGIN).alias("context"))
-    return made.orderBy("fact_id")
+    # ids may repeat over files; without the path all rows of an id would go to one task
+    return made.orderBy("fact_id", "path")
 
 
 def unit_text(row: DataFrame) -> Column:

@@ -58,3 +58,14 @@ def test_only_facts_that_name_files_are_joined_with_modules(spark):
     # facts of files without modules take a branch that has no exchange
     plan = rows._jdf.queryExecution().sparkPlan()
     assert plan.nodeName() == "Union" and "Join" not in plan.children().apply(1).toString() and "Window" not in plan.children().apply(1).toString()
+
+
+def test_units_of_one_id_are_dealt_by_their_path_too(spark):
+    from impactlake.operators import report as R
+
+    said = '{"unresolved": {"exprHash": "h", "scope": "(file)", "fields": [{"expression": "$b"}]}}'
+    facts = spark.createDataFrame([(0, f"f{i:03}", "hook-fire", False, 1, 1, said) for i in range(200)], "fact_id int, file_id string, kind string, resolved boolean, start_line int, end_line int, payload string")
+    files = facts.selectExpr("file_id", "concat(file_id, '.php') path", "'x' text")
+    rows = R.units(facts, files, spark.createDataFrame([("none",)], "expr_hash string"))
+    assert [r.path for r in rows.collect()] == [f"f{i:03}.php" for i in range(200)]
+    assert "path" in rows._jdf.queryExecution().optimizedPlan().toString().splitlines()[0]
