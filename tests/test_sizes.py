@@ -69,3 +69,27 @@ def test_units_of_one_id_are_dealt_by_their_path_too(spark):
     rows = R.units(facts, files, spark.createDataFrame([("none",)], "expr_hash string"))
     assert [r.path for r in rows.collect()] == [f"f{i:03}.php" for i in range(200)]
     assert "path" in rows._jdf.queryExecution().optimizedPlan().toString().splitlines()[0]
+
+
+LINES = "l_orderkey long, l_linenumber int, l_partkey long, l_returnflag string, l_linestatus string"
+
+
+def test_shuffles_have_parts_in_proportion_to_the_tables(spark, tmp_path, monkeypatch):
+    import __spark_entry__
+    from impactlake.plans import session
+
+    folder = parts(spark, tmp_path, [(i, "n", "B", "TIN", i % 50) for i in range(400)])
+    monkeypatch.setattr(session, "PARTS_OF", 50)
+    assert session.stored_bytes(spark, folder) > 1000 and session.stored_bytes(spark, folder + "/none") == 0
+    __spark_entry__.queries()["route_params"](spark, folder)
+    assert int(spark.conf.get(session.INITIAL)) >= session.stored_bytes(spark, folder) / 50 > 8
+    spark.createDataFrame([(1, "a b")], "doc_id long, text string").write.parquet(f"{folder}/documents.parquet")
+    __spark_entry__.queries()["op3_pii"](spark, folder)
+    assert spark.conf.get(session.INITIAL, None) is None
+
+
+def test_calls_are_dealt_once_for_the_first_value_of_each(spark, tmp_path):
+    spark.createDataFrame([(1, 2, 5, "A", "F"), (1, 1, 5, "A", "F"), (1, 1, 5, "A", "F"), (2, 1, 5, "N", "O")], LINES).write.parquet(f"{tmp_path}/lineitem.parquet")
+    rows = catalogue.queries()["evidence_first_value"](spark, str(tmp_path))
+    assert sorted(map(tuple, rows.collect())) == [(1, "symbol-call", 5, round(0.9 * 0.92, 6)), (2, "hook-mediated-uncertain", 5, round(0.4 * 0.92, 6))]
+    assert rows._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
