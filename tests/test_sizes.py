@@ -93,3 +93,12 @@ def test_calls_are_dealt_once_for_the_first_value_of_each(spark, tmp_path):
     rows = catalogue.queries()["evidence_first_value"](spark, str(tmp_path))
     assert rows._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
     assert sorted(map(tuple, rows.collect())) == [(1, "symbol-call", 5, round(0.9 * 0.92, 6)), (2, "hook-mediated-uncertain", 5, round(0.4 * 0.92, 6))]
+
+
+def test_edges_are_counted_where_their_calls_are(spark):
+    from impactlake.plans import session
+
+    session.measured_joins(spark)
+    plan = catalogue.edge_table(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    session.measured_joins(spark, False)
+    assert "SortMergeJoin" in plan and "hashpartitioning(test_id" not in plan
