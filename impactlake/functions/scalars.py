@@ -87,11 +87,20 @@ def _steps(path: Column, escape: bool) -> Column:
     return F.aggregate(F.split(path, "/", -1), nothing, step)
 
 
+def _walked(path: Column, escape: bool) -> Column:
+    """A path without its empty parts, ``.`` and ``..``; most have none and are not taken apart."""
+    return F.when(path.rlike(r"(?:^|/)\.{0,2}(?:/|\z)"), F.array_join(_steps(path, escape), "/")).otherwise(path)
+
+
+def _path_error(path: Column) -> Column:
+    error = F.when(path == "", "empty").when(path.rlike(r"^(?:/|[A-Za-z]:[\\/])"), "absolute").when(F.contains(path, F.lit("\0")), "nul-byte")
+    return error.when(F.coalesce(_walked(path, True), F.lit("")) == "", "escapes-root")
+
+
 def project_path(path: Column) -> Column:
     """struct<path, error> of a path below the project's root."""
-    parts = _steps(path, True)
-    error = F.when(path == "", "empty").when(path.rlike(r"^(?:/|[A-Za-z]:[\\/])"), "absolute").when(F.contains(path, F.lit("\0")), "nul-byte").when(parts.isNull() | (F.size(parts) == 0), "escapes-root")
-    return F.struct(F.when(error.isNull(), F.array_join(parts, "/")).alias("path"), error.alias("error"))
+    error = _path_error(path)
+    return F.struct(F.when(error.isNull(), _walked(path, True)).alias("path"), error.alias("error"))
 
 
 def parse_test_id(raw: Column) -> Column:
@@ -99,15 +108,14 @@ def parse_test_id(raw: Column) -> Column:
     at = F.instr(raw, F.lit(":"))
     framework, rest = F.substr(raw, F.lit(1), at - 1), F.substr(raw, at + 1, F.length(raw))
     cut = F.instr(rest, F.lit("::"))
-    path = F.when(cut > 0, F.substr(rest, F.lit(1), cut - 1)).otherwise(rest)
+    path = F.substring_index(rest, "::", 1)
     name = F.when(cut > 0, F.substr(rest, cut + 2, F.length(rest)))
-    whole = project_path(path)
-    error = F.when((at <= 1) | framework.rlike(r"[/\\. ]"), "malformed").when(~framework.isin(FRAMEWORKS), "unknown-framework").when(path == "", "malformed").when(whole["error"].isNotNull(), "path-invalid")
-    return F.struct(*[F.when(error.isNull(), c).alias(n) for c, n in ((framework, "framework"), (whole["path"], "path"), (name, "filter"))], error.alias("error"))
+    error = F.when((at <= 1) | framework.rlike(r"[/\\. ]"), "malformed").when(~framework.isin(FRAMEWORKS), "unknown-framework").when(path == "", "malformed").when(_path_error(path).isNotNull(), "path-invalid")
+    return F.struct(*[F.when(error.isNull(), c).alias(n) for c, n in ((framework, "framework"), (_walked(path, True), "path"), (name, "filter"))], error.alias("error"))
 
 
 def format_test_id(framework: Column, path: Column, name: Column) -> Column:
-    return F.concat(framework, F.lit(":"), path, F.when(name.isNull(), "").otherwise(F.concat(F.lit("::"), name)))
+    return F.concat(framework, F.lit(":"), path, F.coalesce(F.concat(F.lit("::"), name), F.lit("")))
 
 
 def framework_class(path: Column, framework: Column, rules: list[tuple[list[str], str]]) -> Column:
@@ -120,7 +128,7 @@ def framework_class(path: Column, framework: Column, rules: list[tuple[list[str]
 
 def join_rest_route(namespace: Column, route: Column) -> Column:
     ns, r = F.regexp_replace(namespace, "/+$", ""), F.regexp_replace(F.regexp_replace(route, "^/+", ""), "/+$", "")
-    return F.regexp_replace(F.concat(F.lit("/"), ns, F.when(r == "", "").otherwise(F.concat(F.lit("/"), r))), "/+", "/")
+    return F.regexp_replace(F.regexp_replace(F.concat(F.lit("/"), ns, F.lit("/"), r), "/+", "/"), r"(?s)(?<=.)/\z", "")
 
 
 def rebase_rest_route(route: Column, old: Column, new: Column) -> Column:
@@ -177,17 +185,17 @@ def frontend_or_admin_url(url: Column) -> Column:
 
 def skeleton_tail(src: Column) -> Column:
     """The literal tail of a source path that starts with a wildcard, or null."""
-    c = F.regexp_replace(F.regexp_replace(src, r"^\{\*\}/?", ""), r"(?i)\{\*\}(\.m?js)$", "$1")
-    return F.when(~F.contains(c, F.lit("{*}")) & c.rlike(r"(?i)\.(?:mjs|cjs|jsx|tsx|ts|js)$"), F.regexp_replace(c, "^/+", ""))
+    c = F.regexp_replace(F.regexp_replace(src, r"^(?:\{\*\})?/*", ""), r"(?i)\{\*\}(\.m?js)$", "$1")
+    return F.when(src.rlike(r"(?i)\.(?:mjs|cjs|jsx|tsx|ts|js)$") & ~F.contains(c, F.lit("{*}")), c)
 
 
 def looks_compiled(path: Column, folders: tuple[str, ...] = OUTPUT_FOLDERS) -> Column:
-    return path.endswith(".min.js") | F.arrays_overlap(F.split(path, "/", -1), F.array(*map(F.lit, folders)))
+    return path.endswith(".min.js") | path.rlike("(?:^|/)(?:" + "|".join(map(re.escape, folders)) + r")(?:/|\z)")
 
 
 def normalise_path(path: Column) -> Column:
     """Without empty parts and ``.``, with ``..`` taken away; what would leave the root is dropped."""
-    return F.array_join(_steps(path, False), "/")
+    return _walked(path, False)
 
 
 def split_methods(raw: Column) -> Column:
@@ -245,18 +253,19 @@ def citation_holds(text: Column, line: Column, token: Column, margin: int = 2) -
 def collapse_route_params(route: Column) -> Column:
     """Every ``(?P<name>...)`` or ``(?<name>...)`` of a route becomes ``{*}``; one that is never closed takes the rest."""
     kind = "struct<out:string,depth:int,inside:boolean>"
-    chars = F.transform(F.split(route, ""), lambda c, i: F.struct(c.alias("c"), F.substr(route, i + 1, F.lit(4)).alias("next")))
+    # brackets, and what stands between them, one token each
+    tokens = F.regexp_extract_all(route, F.lit(r"\(\?P?<|[()\[\]]|[^()\[\]]+"), F.lit(0))
 
-    def step(a: Column, x: Column) -> Column:
-        c, opens = x["c"], x["next"].startswith("(?P<") | x["next"].startswith("(?<")
-        depth = a["depth"] + F.when(a["inside"], 0).when(c == "(", 1).when(c == ")", -1).otherwise(0)
+    def step(a: Column, c: Column) -> Column:
+        opens = c.isin("(?P<", "(?<")
+        depth = a["depth"] + F.when(a["inside"], 0).when((c == "(") | opens, 1).when(c == ")", -1).otherwise(0)
         within = F.struct(a["out"].alias("out"), depth.alias("depth"), F.when(a["inside"], c != "]").otherwise(c == "[").alias("inside"))
         begun = F.struct(F.concat(a["out"], F.lit("{*}")).alias("out"), F.lit(1).alias("depth"), F.lit(False).alias("inside"))
         plain = F.struct(F.concat(a["out"], c).alias("out"), F.lit(0).alias("depth"), F.lit(False).alias("inside"))
         return F.when(a["depth"] > 0, within).when(opens, begun).otherwise(plain).cast(kind)
 
     empty = F.struct(F.lit("").alias("out"), F.lit(0).alias("depth"), F.lit(False).alias("inside")).cast(kind)
-    return F.when(F.length(route) == 0, "").otherwise(F.aggregate(chars, empty, step, lambda a: a["out"]))
+    return F.when(route.rlike(r"\(\?P?<"), F.aggregate(tokens, empty, step, lambda a: a["out"])).otherwise(route)
 
 
 def render_template(template: str, fields: Column) -> Column:
